@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vespera.llm import byte_bpe, decontaminate, language_id, token_counts, url_filter
+from vespera.llm import byte_bpe, decontaminate, gated_lm, language_id, license_scan, media, near_dedup, substring_dedup, token_counts, url_filter
 from vespera.llm.common import remainder, table
 
 URL_RULES = [
@@ -26,6 +26,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = remainder(F.col("doc_id"), 5) != 1
+    out = gated_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), learned)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, remainder(F.col("doc_id"), 4) != 2)
@@ -33,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = decontaminate.Benchmark(table(spark, sf_dir, "benchmark"))
     return decontaminate.report(table(spark, sf_dir, "documents"), bench)
@@ -44,6 +62,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_payloads(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -89,8 +111,9 @@ FROM cut c LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_language_id, op7_benchmark_decontamination, op8_byte_bpe, op10_url_filter)}
+    every = (op1_token_counts, op2_gated_lm, op3_substring_dedup, op4_minhash_near_dedup, op5_language_id, op6_license_scan, op7_benchmark_decontamination, op8_byte_bpe, op9_media_columns, op10_url_filter)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op6_license_scan": license_scan.scan_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}
