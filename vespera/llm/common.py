@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,6 +39,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of 1,000 rows where the session leaves Spark's default of 10,000.
+
+    Texts may be long, and a batch is in memory twice. The setting is read when the plan is made, so it
+    stays in the session.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_ROWS, None) in (None, "10000"):
+        spark.conf.set(BATCH_ROWS, "1000")
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
@@ -55,7 +79,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each hold about `most` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -67,6 +91,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def forget_late(cache: dict) -> None:
+    """Halves a cache: what came first stays, which is what occurs most."""
+    kept = list(islice(cache.items(), len(cache) // 2))
+    cache.clear()
+    cache.update(kept)
 
 
 def strings(texts: pa.Array) -> list[str]:

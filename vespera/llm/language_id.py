@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, strings
+from vespera.llm.common import blocks, map_arrow, strings
 
 LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (2, 3)
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, training: Column, bits: int = 16, train_docs: int = 20_
             at = np.flatnonzero(own[:width])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "feature", "n"])
 
-    summed = drawn.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    summed = map_arrow(drawn, count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(labels), width))
     at = {x: i for i, x in enumerate(labels)}
     if summed.num_rows:
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             lang, score = own.predict(strings(part.column(text_col)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names, "_lang", "_score"])
 
-    out = docs.mapInArrow(run, _with(schema, "_lang string, _score double"))
+    out = map_arrow(docs, run, _with(schema, "_lang string, _score double"))
     return out
 
 

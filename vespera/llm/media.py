@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vespera.llm import progressive_jpeg as jpeg
-from vespera.llm.common import blocks, strings
+from vespera.llm.common import blocks, map_arrow, strings
 
 UNIT = 192
 
@@ -92,7 +92,7 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(run, schema + (", media binary" if files else "")).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, schema + (", media binary" if files else "")).withColumnRenamed("id", id_col)
 
 
 def read_payloads(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -103,7 +103,7 @@ def read_payloads(stored: DataFrame, id_col: str = "doc_id", media_col: str = "m
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(from_images(jpeg.decode(part.column("media").to_pylist())), pa.binary())], ["id", "payload"])
 
     rows = stored.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, payload binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, payload binary").withColumnRenamed("id", id_col)
 
 
 def decode_images(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -125,4 +125,4 @@ def decode_images(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("id"), *arrays], ["id", "height", "width", "rgb", "error"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, height int, width int, rgb binary, error string").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, height int, width int, rgb binary, error string").withColumnRenamed("id", id_col)
