@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, written
+from vespera.llm.common import blocks, map_arrow, written
 from vespera.llm.components import components
 from vespera.llm.wordhash import grams, inside, mixed, words_of
 
@@ -137,7 +137,7 @@ def links_within(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], p
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_signatures, "doc long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    signed = written(map_arrow(rows, _signatures, "doc long, n_shingles long, digest binary, bands array<long>"), "signatures")
     sets = written(signed.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
 
     buckets = sets.select("rep", F.explode("bands").alias("bucket"))
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     shared = written(buckets.join(heads, "bucket"), "buckets")  # only the buckets with several members
     pairs = shared.where("rep <> head").select("rep", "head").distinct()
     members = shared.select("rep").distinct()
-    shingles = written(rows.join(members, rows["doc"] == members["rep"], "left_semi").mapInArrow(_sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "shingles")
+    shingles = written(map_arrow(rows.join(members, rows["doc"] == members["rep"], "left_semi"), _sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "shingles")
 
     a = shingles.select(F.col("doc").alias("rep"), F.col("shingles").alias("x"))
     b = shingles.select(F.col("doc").alias("head"), F.col("shingles").alias("y"))
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     if more is not None:
         label = components(links.unionByName(more))
     named = sets.join(label, sets["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named, "digest", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    out = signed.join(named, "digest", "left").select(F.col("doc").alias(id_col), "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

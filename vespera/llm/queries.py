@@ -110,10 +110,36 @@ FROM cut c LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+SPLIT = r"list_filter(regexp_split_to_array({}, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
+
+OP3_SQL = f"""
+WITH cut AS (SELECT doc_id, {SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM cut, unnest(range(1, greatest(len(w) - 48, 1))) AS t(i)),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE first_doc < doc_id), unnest(range(i, i + 50)) AS u(p)),
+spelled AS (SELECT doc_id, p, w[p] AS word FROM cut, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM spelled ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (doc_id)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, {SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM cut, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * c >= 75 * (m.n + n.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN lowest USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_token_counts, op2_gated_lm, op3_substring_dedup, op4_minhash_near_dedup, op5_language_id, op6_license_scan, op7_benchmark_decontamination, op8_byte_bpe, op9_media_columns, op10_url_filter)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.scan_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_license_scan": license_scan.scan_sql(), "op7_benchmark_decontamination": OP7_SQL, "op10_url_filter": OP10_SQL}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, strings, written
+from vespera.llm.common import blocks, map_arrow, strings, written
 from vespera.llm.fm_index import FMIndex
 from vespera.llm.wordhash import BASE, UNBASE, Words, grams, inside, mixed, powers, words_of
 
@@ -183,7 +183,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranges(occurrences: DataFrame, answers: DataFrame) -> DataFrame:
     """doc, digest, ranges: word ranges to remove, of documents that have some."""
     joined_ = occurrences.join(answers, ["m", "seg"])
-    own = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"), F.col("low").alias("low"))))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"), F.col("low").alias("low")))
+    own = F.concat(whole, F.coalesce("runs", F.array().cast(RUNS)))  # the segment's first document has all its windows
     hit = F.filter(own, lambda r: r["low"] < F.col("doc"))
     each = joined_.select("doc", "digest", F.transform(hit, lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (WINDOW - 1)).alias("b"))).alias("ranges")).where(F.size("ranges") > 0)
     return each.groupBy("doc", "digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -196,7 +197,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     otherwise, and their remaining words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = written(rows.mapInArrow(_profile, "doc long, n_words long, digest binary, mins array<long>"), "profile")
+    found = written(map_arrow(rows, _profile, "doc long, n_words long, digest binary, mins array<long>"), "profile")
     long_ = found.where((F.col("n_words") >= WINDOW) & F.col("doc").isNotNull())
     first = written(long_.groupBy("digest").agg(F.min("doc").alias("rep")), "firsts").select(F.col("rep").alias("doc"), F.col("digest"))
     sole = found.where(F.col("n_words") >= WINDOW).join(first.dropDuplicates(["doc", "digest"]), ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"])
@@ -206,27 +207,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flagged = mins.join(common, "m", "left_semi").groupBy("doc").agg(F.collect_set("m").alias("mins"))
     chosen = sole.select("doc", "digest").join(flagged, "doc")
     hashed = rows.join(chosen, "doc")
-    cand = written(hashed.mapInArrow(_same_text, "doc long, digest binary, mins array<long>, text string"), "candidates")
+    cand = written(map_arrow(hashed, _same_text, "doc long, digest binary, mins array<long>, text string"), "candidates")
 
-    occurrences = written(cand.mapInArrow(_segments, "doc long, digest binary, m long, seg long, start long, windows long"), "segments")
+    occurrences = written(map_arrow(cand, _segments, "doc long, digest binary, m long, seg long, start long, windows long"), "segments")
     distinct = occurrences.groupBy("m", "seg").agg(F.min(F.struct("doc", "start", "digest")).alias("first"), F.first("windows").alias("windows"))
     distinct = written(distinct.select("m", "seg", F.col("first.doc").alias("low"), "first.start", "first.digest", "windows"), "distinct")
     sizes = distinct.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (WINDOW - 1)).alias("words")).where("n > 1")
     sizes = written(sizes.select("m", "words", (F.col("words") > HOT_WORDS).alias("hot")), "sizes")
     several = distinct.join(sizes, "m").groupBy(F.col("low").alias("doc"), "digest").agg(F.collect_list(F.struct("m", "seg", "low", "start", "windows", "hot")).alias("wanted"))
-    held = written(cand.select("doc", "digest", "text").join(several, ["doc", "digest"]).mapInArrow(_providers, "m long, seg long, low long, hot boolean, words array<long>"), "words")
+    held = written(map_arrow(cand.select("doc", "digest", "text").join(several, ["doc", "digest"]), _providers, "m long, seg long, low long, hot boolean, words array<long>"), "words")
 
     total = sizes.where("not hot").agg(F.sum("words")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     shard = F.pmod(F.xxhash64("m", F.lit(7)), F.lit(shards)).cast("int")
     cool = held.where("not hot").repartition(shards, shard).groupBy(shard.alias("shard")).applyInArrow(_resolve, f"m long, seg long, runs {RUNS}")
-    single = held.where("hot").mapInArrow(_windows, "m long, seg long, low long, a int, h long")
+    single = map_arrow(held.where("hot"), _windows, "m long, seg long, low long, a int, h long")
     least = single.groupBy("h").agg(F.min("low").alias("least"))
     hot = single.join(least, "h").where("least < low").groupBy("m", "seg").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), F.col("least").alias("low"))).alias("runs"))
     runs = written(cool.unionByName(hot), "runs")
     answers = distinct.select("m", "seg", "low").join(runs, ["m", "seg"], "left")
     ranges = _ranges(occurrences, answers)
-    edited = written(cand.select("doc", "digest", "text").join(ranges, ["doc", "digest"]).mapInArrow(_remove, "doc long, digest binary, n_removed long, kept string"), "edited")
+    edited = written(map_arrow(cand.select("doc", "digest", "text").join(ranges, ["doc", "digest"]), _remove, "doc long, digest binary, n_removed long, kept string"), "edited")
     marks = first.withColumn("sole", F.lit(True))
     profile = found.select("doc", "n_words", "digest").join(marks, ["doc", "digest"], "left")
     return profile.withColumn("copy", (F.col("n_words") >= WINDOW) & F.col("doc").isNotNull() & F.col("sole").isNull()).drop("sole"), edited
@@ -254,10 +255,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     profile, edited = repeated(docs, id_col, text_col)
     copies = profile.where("copy").select("doc", "digest", F.lit("").alias("kept"))
     changed = edited.select("doc", "digest", "kept").unionByName(copies).groupBy("doc", "digest").agg(F.first("kept").alias("kept"))
-    by_id = written(changed.groupBy("doc").agg(F.collect_list(F.struct("digest", "kept")).alias("_changes")), "changes")
+    by_id = written(changed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("digest", "kept")).alias("_changes")), "changes")
     words = F.array_remove(F.split(F.col(text_col), "[\\x09-\\x0D\\x20]+"), "")
     own = F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256))  # rows with one id may have several texts
     mine = F.filter("_changes", lambda x: x["digest"] == own)
-    rows = docs.join(by_id, docs[id_col] == by_id["doc"], "left")
+    rows = docs.join(by_id, docs[id_col] == by_id["_doc"], "left")
     kept = F.when(F.col("_changes").isNotNull() & (F.size(mine) > 0), F.element_at(F.transform(mine, lambda x: x["kept"]), 1))
     return rows.withColumn("_kept", kept).where("_kept is null or _kept <> ''").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
