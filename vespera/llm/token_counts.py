@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, strings
+from vespera.llm.common import blocks, forget_late, map_arrow, strings
 from vespera.llm.merges import Merges
 
 SPACE = "▁"
@@ -37,23 +37,20 @@ class Transducer:
 
     def __init__(self, ranks: dict[str, float], chars: set[str], most_states: int = 150_000):
         self.merges, self.chars, self.most = Merges(ranks), chars, most_states
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: list[dict[str, int]] = [{}]
         self.token: list[str | None] = [None]
-        leads = [False]
         for piece in [*chars, *ranks]:
             if not self.merges.reachable(piece):
                 continue
             node = 0
             for c in piece:
-                leads[node] = True
-                to = self.child.get((node, c))
+                to = self.child[node].get(c)
                 if to is None:
-                    to = self.child[node, c] = len(self.token)
+                    to = self.child[node][c] = len(self.token)
                     self.token.append(None)
-                    leads.append(False)
+                    self.child.append({})
                 node = to
             self.token[node] = piece
-        self.leads = leads
         self.reset()
 
     def reset(self) -> None:
@@ -65,15 +62,16 @@ class Transducer:
             move = self.moves[state][c] = (0, len(c.encode("utf-8", "surrogatepass")))
             return move
         went, last, delta = [], None, 0
+        child, tokens, compatible = self.child, self.token, self.merges.compatible
         for node, before, count in self.keys[state]:
-            to = self.child.get((node, c))
+            to = child[node].get(c)
             if to is None:
                 continue
-            if last is None and (token := self.token[to]) is not None and (before is None or self.merges.compatible(before, token)):
+            if last is None and (token := tokens[to]) is not None and (before is None or compatible(before, token)):
                 last, delta = token, count + 1
-            if self.leads[to]:
+            if child[to]:
                 went.append((to, before, count))
-        key = (*((to, before, count - delta) for to, before, count in went), (0, last, 0))
+        key = (*(went if not delta else [(to, before, count - delta) for to, before, count in went]), (0, last, 0))
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.keys)
@@ -112,7 +110,7 @@ class Transducer:
 class Counter(dict):
     """word (without its space) -> tokens of space + word: the constant state maps of chunks, kept by content."""
 
-    def __init__(self, path: str, most: int = 400_000, chunk: int = 4096):
+    def __init__(self, path: str, most: int = 250_000, chunk: int = 4096):
         super().__init__()
         from sentencepiece import SentencePieceProcessor
 
@@ -132,7 +130,7 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.most:
-            self.clear()
+            forget_late(self)
         self.transducer.tidy()
         if len(word) <= self.chunk:
             n = self[word] = self.transducer.run(SPACE + word)[1]
@@ -195,5 +193,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = map_arrow(rows, count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
