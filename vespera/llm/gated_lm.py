@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, written
+from vespera.llm.common import blocks, map_arrow, written
 from vespera.llm.wordhash import words_of
 
 FREQUENT, CLASSES, HIDDEN, STREAMS, WINDOW = 64, 128, 32, 256, 16
@@ -79,7 +79,7 @@ def count_words(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
         if held:
             yield batch(merged())
 
-    return docs.mapInArrow(run, "h long, suffix int, n long").groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+    return map_arrow(docs, run, "h long, suffix int, n long").groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -237,7 +237,13 @@ class Trainer:
             p -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def train(docs: DataFrame, key: Column, lex: Lexicon, rounds: tuple[int, ...] = (1, 7), block: int = 4 << 20) -> Network:
+def _joined(seqs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of many blocks, and where texts begin."""
+    classes, lengths = (np.concatenate(x) for x in zip(*seqs, strict=True))
+    return classes, np.cumsum(lengths) - lengths
+
+
+def train(docs: DataFrame, key: Column, lex: Lexicon, rounds: tuple[int, ...] = (1, 7), gather: int = 600_000) -> Network:
     """docs (text); key: a number by which rows are dealt to the rounds, in these shares. Only sums of parameters come to the driver."""
     prior = lex.tokens.copy()
     prior[: len(lex.frequent)] = lex.n / 500  # the network learns these soon
@@ -251,15 +257,22 @@ def train(docs: DataFrame, key: Column, lex: Lexicon, rounds: tuple[int, ...] =
 
         def run(batches: Iterator[pa.RecordBatch], start=start, share=share) -> Iterator[pa.RecordBatch]:
             own = Trainer(Network(start), rate=0.01 if share == rounds[0] else 0.004)
-            for part in blocks(batches, "text", block):
+            seqs, n = [], 0
+            for part in blocks(batches, "text"):
                 hashes, suffix, first = tokens_of(part.column("text"))
-                own.run(held.value.classes(hashes, suffix), first[:-1])
+                seqs.append((held.value.classes(hashes, suffix), np.diff(first)))
+                n += len(hashes)
+                if n > gather:
+                    own.run(*_joined(seqs))
+                    seqs, n = [], 0
+            if n:
+                own.run(*_joined(seqs))
             if own.tokens:
                 p = own.net.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(p * own.tokens), pa.array(np.full(len(p), own.tokens))], ["i", "p", "w"])
 
         mine = docs.where((F.pmod(key, F.lit(total)) >= low) & (F.pmod(key, F.lit(total)) < low + share)).select("text")
-        got = mine.mapInArrow(run, "i int, p double, w long").groupBy("i").agg((F.sum("p") / F.sum("w")).alias("p")).toArrow()
+        got = map_arrow(mine, run, "i int, p double, w long").groupBy("i").agg((F.sum("p") / F.sum("w")).alias("p")).toArrow()
         if got.num_rows:
             flat = np.zeros(got.num_rows)
             flat[got.column("i").to_numpy()] = got.column("p").to_numpy()
@@ -338,7 +351,7 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1])
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 16_000_000, gather: int = 2_500_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; training: which rows are learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     learn = rows.where("learn").select("text", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 30)).alias("key"))
@@ -356,14 +369,26 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (lex, net), vocabulary = model.value, words.value
-        for part in blocks(batches, "text", 16 << 20):
+        held: list[tuple] = []
+
+        def scored() -> pa.RecordBatch:
+            ids = pa.concat_arrays([h[0] for h in held])
+            lengths, known, base, within = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
+            classes = np.concatenate([h[5] for h in held])
+            total = class_scores(net, classes, np.concatenate([[0], np.cumsum(lengths)])) + within
+            held.clear()
+            return pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(known), pa.array(base), pa.array(total)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+        for part in blocks(batches, "text"):
             hashes, suffix, first = tokens_of(part.column("text"))
             cls, count = lex.classes(hashes, suffix), vocabulary.counts(hashes)
-            total = class_scores(net, cls, first) + _sums(lex.word_log(cls, count), first)
-            columns = [part.column("id"), pa.array(np.diff(first)), pa.array(_sums((count > 0).astype(np.int64), first)), pa.array(_sums(lex.base_log(count), first)), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "base_score", "score"])
+            held.append((part.column("id"), np.diff(first), _sums((count > 0).astype(np.int64), first), _sums(lex.base_log(count), first), _sums(lex.word_log(cls, count), first), cls))
+            if sum(len(h[5]) for h in held) > gather:
+                yield scored()
+        if held:
+            yield scored()
 
-    out = rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = map_arrow(rows.select("id", "text"), run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(lex.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -372,7 +397,7 @@ def _score_joined(rows: DataFrame, vocab: DataFrame, model, lex: Lexicon, kind:
 
     def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, net = model.value
-        for part in blocks(batches, "text", 16 << 20):
+        for part in blocks(batches, "text", 2 << 20):
             hashes, suffix, first = tokens_of(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(np.diff(first)), pa.array(class_scores(net, lex.classes(hashes, suffix), first))], ["row", "id", "n_tokens", "classes"])
 
@@ -387,8 +412,8 @@ def _score_joined(rows: DataFrame, vocab: DataFrame, model, lex: Lexicon, kind:
             yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(o[new])), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h)))), pa.array(lex.classes(hashes[pick], suffix[pick]).astype(np.int32))], ["row", "h", "tf", "class"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    texts = numbered.mapInArrow(per_text, f"row long, id {kind}, n_tokens long, classes double")
-    words = numbered.select("row", "text").mapInArrow(per_word, "row long, h long, tf long, class int")
+    texts = map_arrow(numbered, per_text, f"row long, id {kind}, n_tokens long, classes double")
+    words = map_arrow(numbered.select("row", "text"), per_word, "row long, h long, tf long, class int")
     tokens, types = (F.array(*(F.lit(float(x)) for x in v)) for v in (lex.tokens, lex.types))
     c = F.coalesce("n", F.lit(0))
     at = F.col("class") + 1
