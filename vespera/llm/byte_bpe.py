@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding and decoding, exact and in linear time.
 
-Bytes are mapped to Latin-1 characters so that one Aho-Corasick automaton finds every vocabulary
-entry inside a piece of text. From the left the longest entry is taken that is compatible with the
+Bytes are mapped to Latin-1 characters so that the trie of an automaton finds the longest
+vocabulary entry from a position on. From the left the longest entry is taken that is compatible with the
 token before it (pairs are memoised); where none fits, the last token is given up for its next
 shorter one. A position given up is never tried again, as the tokens of a prefix are unique, so
 each position is entered once.
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, strings
+from vespera.llm.common import blocks, forget_late, map_arrow, strings
 from vespera.llm.merges import Merges
 
 
@@ -33,54 +33,64 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
         super().__init__()
-        self.ids = {t.decode("latin-1"): i for t, i in ranks.items()}
+        rank = {t.decode("latin-1"): i for t, i in ranks.items()}
+        self.names = {t: str(i) for t, i in rank.items()}
         self.bytes_of = {str(i): t for t, i in ranks.items()}
-        self.merges, self.most = Merges(self.ids), most
+        self.merges, self.most = Merges(rank), most
         self.automaton = ahocorasick.Automaton()
-        for token in self.ids:
-            if self.merges.reachable(token):
-                self.automaton.add_word(token, len(token))
-        self.automaton.make_automaton()
+        tokens = {t for t in rank if self.merges.reachable(t)}
+        self.inside: dict[str, str | None] = {"": None}  # of each path of the trie: the longest token that begins it
+        for token in sorted(tokens, key=len):
+            self.automaton.add_word(token, len(token))
+            for n in range(1, len(token) + 1):
+                path = token[:n]
+                if path not in self.inside:
+                    self.inside[path] = path if path in tokens else self.inside[path[:-1]]
+        self.shorter = {t: self.inside[t[:-1]] for t in tokens}
+        self.longest = max(map(len, tokens))
         self.pieces = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> str:
         if len(self) > self.most:
-            self.clear()
-        out = " ".join(map(str, self.encode_piece(piece.encode("utf-8", "surrogatepass"))))
+            forget_late(self)
+        out = self.encode_piece(piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1"))
         if len(piece) < 1000:
             self[piece] = out
         return out
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        s = piece.decode("latin-1")
-        whole = self.ids.get(s)
-        return [whole] if whole is not None else [self.ids[t] for t in self.backtrack(s)]
+    def encode_piece(self, s: str) -> str:
+        """s: the piece's bytes as Latin-1."""
+        names = self.names
+        return names.get(s) or " ".join([names[t] for t in self.backtrack(s)])
 
     def backtrack(self, s: str) -> list[str]:
-        lengths: list[list[int]] = [[] for _ in s]
-        for end, n in self.automaton.iter(s):
-            lengths[end - n + 1].append(n)
-        if not all(lengths):
-            lengths = [x or [1] for x in lengths]  # a byte that the vocabulary lacks fails below, by its name
-        compatible, size = self.merges.compatible, len(s)
+        inside, shorter, reach, width, size = self.inside, self.shorter, self.automaton.longest_prefix, self.longest, len(s)
+        known, compatible = self.merges.known, self.merges.compatible
         out: list[str] = []
         given_up: set[int] = set()
-        at, below = 0, size + 1
-        while at < size:
-            for n in reversed(lengths[at]):
-                if n < below and at + n not in given_up:
-                    token = s[at : at + n]
-                    if not out or compatible(out[-1], token):
-                        out.append(token)
-                        at, below = at + n, size + 1
+        at, last = 0, ""
+        token = inside[s[: reach(s[:width])]]
+        while True:
+            while token is not None:
+                if not given_up or at + len(token) not in given_up:
+                    fits = known.get((last, token)) if last else True
+                    if fits or (fits is None and compatible(last, token)):
                         break
-            else:
-                if not out:
-                    raise ValueError("the vocabulary can't express this piece")
+                token = shorter[token]
+            if token is not None:
+                out.append(token)
+                at += len(token)
+                if at == size:
+                    return out
+                last = token
+                token = inside[s[at : at + reach(s[at : at + width])]]
+            elif out:
                 given_up.add(at)
-                below = len(out[-1])
-                at -= len(out.pop())
-        return out
+                last = out.pop()
+                at -= len(last)
+                token, last = shorter[last], out[-1] if out else ""
+            else:
+                raise ValueError("the vocabulary can't express this piece")
 
     def encode(self, text: str) -> str:
         """The ids of a text, as decimal numbers with one space between."""
@@ -111,7 +121,7 @@ def _over_texts(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{k} {v}" for k, v in fields.items())])).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, ", ".join([f"id {kind}", *(f"{k} {v}" for k, v in fields.items())])).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +139,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "bytes"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def _digests(own: Codec, text: str) -> tuple[int, str, str]:

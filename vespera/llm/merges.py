@@ -20,7 +20,7 @@ class Merges:
         self._parts: dict = {}
         self._right: dict = {}
         self._left: dict = {}
-        self._pairs: dict = {}
+        self.known: dict = {}
 
     def merge(self, text, below=inf) -> list:
         """The plain way, one merge after another, of merges with a rank under `below`."""
@@ -62,11 +62,11 @@ class Merges:
         return known[token]
 
     def compatible(self, a, b) -> bool:
-        known = self._pairs.get((a, b))
+        known = self.known.get((a, b))
         if known is None:
-            if len(self._pairs) > 400_000:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._apart(self._spine(a, 1), self._spine(b, 0))
+            if len(self.known) > 250_000:
+                self.known.clear()
+            known = self.known[a, b] = self._apart(self._spine(a, 1), self._spine(b, 0))
         return known
 
     def _apart(self, xs: list, ys: list) -> bool:
