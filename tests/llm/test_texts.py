@@ -122,11 +122,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("most", [60_000, 1])
+@pytest.mark.parametrize("most", [{}, {"most_windows": 1}, {"most_windows": 1, "most_broadcast": 1}])
 def test_decontamination(spark, most):
     docs = spark.createDataFrame([(i, t, "w") for i, t in enumerate([*TEXTS, TEXTS[0]])], "doc_id long, text string, w string")
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
-    bench = decontaminate.Benchmark(items, most_windows=most)
+    bench = decontaminate.Benchmark(items, **most)
     want = brute.decontaminate([(r["doc_id"], r["text"]) for r in docs.collect()], ITEMS)
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == sorted(want)
     kept = [r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()]

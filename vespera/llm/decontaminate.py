@@ -2,7 +2,7 @@
 
 The n-grams (windows) of the benchmark's normalised words form a hash set that goes to every
 executor inside the plan, once its size is checked; beyond the bound the windows are joined by
-their hashes instead. Every window of every text is looked up, hits are verified word for word, and
+their hashes instead (broadcast up to `most_broadcast` windows). Every window of every text is looked up, hits are verified word for word, and
 the documents, or the spans of their hit words, are removed.
 
 Normalisation lower-cases A-Z only. The lookup lower-cases all letters, which takes every true hit
@@ -54,10 +54,11 @@ def _let(value: Column, body) -> Column:
 class Benchmark:
     """The windows of a benchmark; only their hashes and texts, most_windows at most, come to the driver."""
 
-    def __init__(self, items: DataFrame, n: int = 10, most_windows: int = 60_000, id_col: str = "item_id", text_col: str = "text"):
+    def __init__(self, items: DataFrame, n: int = 10, most_windows: int = 60_000, most_broadcast: int = 4_000_000, id_col: str = "item_id", text_col: str = "text"):
         self.grams = windows(items, n, id_col, text_col)
         distinct = self.grams.select("size", "gram").distinct()
-        self.small = distinct.count() <= most_windows
+        self.n_windows, self.most_broadcast = distinct.count(), most_broadcast
+        self.small = self.n_windows <= most_windows
         self.sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())
         self.sets: dict[int, tuple[list[int], list[str]]] = {}
         if self.small:
@@ -93,15 +94,19 @@ def _covered(hits: Column) -> Column:
 
 
 def _joined_hits(rows: DataFrame, bench: Benchmark) -> DataFrame:
-    """The way for benchmarks over the bound: rows (row, w) -> row, hits."""
-    def of_size(k: int) -> Column:
-        return F.transform(_starts(F.col("w"), k), lambda i: F.struct(i.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice("w", i, k), " ").alias("gram")))
-
-    each = F.concat(*map(of_size, bench.sizes))
-    grams = rows.select("row", F.inline(each)).withColumn("h", F.xxhash64("gram"))
-    known = bench.grams.select("gram").distinct().withColumn("h", F.xxhash64("gram"))
-    found = grams.join(known, ["h", "gram"], "left_semi")
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", "size", "gram")).alias("hits"))
+    """The way for benchmarks over the bound: rows (row, w) -> row, hits. Hashes are joined first, their hits word for word."""
+
+    def hashed(k: int) -> Column:
+        return F.transform(_starts(F.col("w"), k), lambda i: F.struct(i.alias("start"), F.lit(k).alias("size"), F.xxhash64(F.slice("w", i, k)).alias("h")))
+
+    each = rows.select("row", F.inline(F.concat(*map(hashed, bench.sizes))))
+    known = bench.grams.select("size", "gram").distinct()
+    hashes = known.select("size", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    near = each.join(F.broadcast(hashes) if bench.n_windows <= bench.most_broadcast else hashes, ["size", "h"], "left_semi")
+    places = near.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("found"))
+    spelled = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.array_join(F.slice("w", x["start"], x["size"]), " ").alias("gram")))
+    hits = rows.join(places, "row").select("row", F.inline(spelled)).join(known, ["size", "gram"], "left_semi")
+    return hits.groupBy("row").agg(F.collect_list(F.struct("start", "size", "gram")).alias("hits"))
 
 
 def with_hits(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
