@@ -39,6 +39,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most so many rows; else Catalyst chooses."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def among(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = 4_000_000) -> DataFrame:
+    """The rows with an id of a written table, or without (left_anti). Few ids are broadcast, more are joined."""
+    return rows.join(small(ids, most), on, how)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches of 1,000 rows where the session leaves Spark's default of 10,000.
 

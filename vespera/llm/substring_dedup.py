@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, map_arrow, strings, written
+from vespera.llm.common import among, blocks, map_arrow, strings, written
 from vespera.llm.fm_index import FMIndex
 from vespera.llm.wordhash import BASE, UNBASE, Words, grams, inside, mixed, powers, words_of
 
@@ -205,8 +205,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mins = sole.select("doc", F.explode(F.array_distinct("mins")).alias("m"))
     common = written(mins.groupBy("m").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("m"), "minimisers")
     flagged = mins.join(common, "m", "left_semi").groupBy("doc").agg(F.collect_set("m").alias("mins"))
-    chosen = sole.select("doc", "digest").join(flagged, "doc")
-    hashed = rows.join(chosen, "doc")
+    chosen = written(sole.select("doc", "digest").join(flagged, "doc"), "chosen")
+    hashed = among(rows, written(chosen.select("doc").distinct(), "ids"), "doc").join(chosen, "doc")
     cand = written(map_arrow(hashed, _same_text, "doc long, digest binary, mins array<long>, text string"), "candidates")
 
     occurrences = written(map_arrow(cand, _segments, "doc long, digest binary, m long, seg long, start long, windows long"), "segments")
@@ -225,7 +225,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = single.groupBy("h").agg(F.min("low").alias("least"))
     hot = single.join(least, "h").where("least < low").groupBy("m", "seg").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), F.col("least").alias("low"))).alias("runs"))
     runs = written(cool.unionByName(hot), "runs")
-    answers = distinct.select("m", "seg", "low").join(runs, ["m", "seg"], "left")
+    answers = written(distinct.select("m", "seg", "low").join(runs, ["m", "seg"], "left"), "answers")  # a plain side, so that a hot segment's occurrences can be split
     ranges = _ranges(occurrences, answers)
     edited = written(map_arrow(cand.select("doc", "digest", "text").join(ranges, ["doc", "digest"]), _remove, "doc long, digest binary, n_removed long, kept string"), "edited")
     marks = first.withColumn("sole", F.lit(True))
@@ -250,7 +250,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("doc").alias(id_col), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 4_000_000) -> DataFrame:
     """The rows of docs without repeated words; rows that lose all words go, rows that lose none keep their text."""
     profile, edited = repeated(docs, id_col, text_col)
     copies = profile.where("copy").select("doc", "digest", F.lit("").alias("kept"))
@@ -259,6 +259,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     words = F.array_remove(F.split(F.col(text_col), "[\\x09-\\x0D\\x20]+"), "")
     own = F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256))  # rows with one id may have several texts
     mine = F.filter("_changes", lambda x: x["digest"] == own)
-    rows = docs.join(by_id, docs[id_col] == by_id["_doc"], "left")
-    kept = F.when(F.col("_changes").isNotNull() & (F.size(mine) > 0), F.element_at(F.transform(mine, lambda x: x["kept"]), 1))
-    return rows.withColumn("_kept", kept).where("_kept is null or _kept <> ''").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
+    ids = by_id.select(F.col("_doc").alias(id_col))
+    rows = among(docs, ids, id_col, most=most_broadcast).join(by_id, docs[id_col] == by_id["_doc"])
+    kept = F.when(F.size(mine) > 0, F.element_at(F.transform(mine, lambda x: x["kept"]), 1))
+    edited_rows = rows.withColumn("_kept", kept).where("_kept is null or _kept <> ''").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
+    return edited_rows.unionByName(among(docs, ids, id_col, "left_anti", most_broadcast).select(*docs.columns))
