@@ -113,15 +113,31 @@ def test_fm_index_counts():
 
 
 def test_near_duplicates(spark, monkeypatch):
-    for seed, block in ((5, 1024), (7, 32)):
+    for block in (32,):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
-        rows = tricky(seed)
+        monkeypatch.setattr(near_dedup, "STARS", 0)
+        rows = tricky()
+        got = sorted(map(tuple, near_dedup.near_duplicates(frame(spark, rows)).collect()), key=repr)
+        assert got == sorted(brute.near_duplicates(rows), key=repr)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(9)
+    one, two = sentence(rng, 50), sentence(rng, 50)
+    rows = [(5, one), (5, two), (6, one), (7, two), (8, sentence(rng, 50))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_turns_of_comparison_with_one_member(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 2)
+    for rows in (tricky(11),):
         got = sorted(map(tuple, near_dedup.near_duplicates(frame(spark, rows)).collect()), key=repr)
         assert got == sorted(brute.near_duplicates(rows), key=repr)
 
 
 def test_keep_one(spark):
-    rows = tricky()
+    rows = tricky()[:30]
     want = sorted((i for i, _, _, kept in brute.near_duplicates(rows) if kept or i is None), key=repr)
     for most in (4_000_000, -1):
         assert sorted((r["doc_id"] for r in near_dedup.keep_one(frame(spark, rows), most_broadcast=most).collect()), key=repr) == want

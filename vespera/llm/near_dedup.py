@@ -8,14 +8,16 @@ all rows of some band are candidates: with 48 bands of 5 rows, a pair at the sim
 escapes with a probability of 2.3e-6.
 
 Equal sets are first joined into one representative. In a bucket all members are compared with its
-smallest one; where that leaves several components in a bucket, its members are compared among
-each other in blocks of bounded size, except within a component. So no link between components is
+smallest one, and where many stay outside the largest component, with up to three others (each bucket
+has its own). Where a bucket is in several components then, the members outside the largest are compared
+with it and among each other in blocks of bounded size, except within a component. So no link between components is
 lost, no group comes into one task whole, and equal or alike groups of any size cost one
 comparison a member. Links hold on full sets: 100 * intersection >= 75 * union.
 
 A null or empty text has an empty set and is linked with nothing. A null id is linked with nothing
-either: its component is null and it is kept. Rows with the same id are one document if their texts
-agree, and share links otherwise; each row stays in the result. An empty table gives an empty result.
+either: its component is null and it is kept. Each row stays in the result. Rows with the same id and
+different texts are judged each by its own text; where the id is the smallest holder of several texts,
+these share their links. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, map_arrow, written
+from vespera.llm.common import among, blocks, map_arrow, small, written
 from vespera.llm.components import components
 from vespera.llm.wordhash import grams, inside, mixed, words_of
 
-BINS, ROWS, BLOCK = 240, 5, 1024
+BINS, ROWS, BLOCK = 240, 5, 256
+STARS, LARGE = 3, 64  # turns of further comparisons with one member, in buckets with more members than this outside their largest component
 
 
 def shingle_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -143,16 +146,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     buckets = sets.select("rep", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("bucket", "head")
     shared = written(buckets.join(heads, "bucket"), "buckets")  # only the buckets with several members
-    pairs = shared.where("rep <> head").select("rep", "head").distinct()
-    members = shared.select("rep").distinct()
-    shingles = written(map_arrow(rows.join(members, rows["doc"] == members["rep"], "left_semi"), _sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "shingles")
-
-    a = shingles.select(F.col("doc").alias("rep"), F.col("shingles").alias("x"))
-    b = shingles.select(F.col("doc").alias("head"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = written(pairs.join(a, "rep").join(b, "head").where(_enough(both, F.size("x") + F.size("y") - both, percent)).select(F.col("rep").alias("a"), F.col("head").alias("b")), "verified")
+    members = written(shared.select(F.col("rep").alias("doc")).distinct(), "members")
+    shingles = written(map_arrow(among(rows, members, "doc"), _sets, "doc long, shingles array<long>"), "shingles")  # repeated rows repeat; that adds no link
+    links = _verified(shared.where("rep <> head").select("rep", "head").distinct(), shingles, percent)
     label = components(links)
-
+    for turn in range(STARS):
+        pairs = _star(shared, label, turn)
+        if pairs is None:
+            break
+        links = written(links.unionByName(_verified(pairs, shingles, percent)), "links")
+        label = components(links)
     more = _remaining(shared, shingles, label, percent)
     if more is not None:
         label = components(links.unionByName(more))
@@ -161,18 +164,59 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (rep, head) that are links on their full sets, as (a, b). Few pairs go to the sets, which are shuffled once."""
+    pairs = written(pairs, "pairs")
+    heads = written(pairs.select("head").distinct(), "heads")
+    x = shingles.select(F.col("doc").alias("rep"), F.col("shingles").alias("x")).join(small(pairs), "rep")
+    y = among(shingles.select(F.col("doc").alias("head"), F.col("shingles").alias("y")), heads, "head")
+    both = F.size(F.array_intersect("x", "y"))
+    found = x.join(y, "head").where(_enough(both, F.size("x") + F.size("y") - both, percent))
+    return written(found.select(F.col("rep").alias("a"), F.col("head").alias("b")), "verified")
+
+
+def _labelled(shared: DataFrame, label: DataFrame) -> DataFrame:
+    return shared.join(label, shared["rep"] == label["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def _star(shared: DataFrame, label: DataFrame, turn: int) -> DataFrame | None:
+    """For buckets with many members outside their largest component: pairs of a hashed member with all outside its own."""
+    now, split = _split(shared, label, turn)
+    heads = written(split.where(F.col("n") - F.col("major.n") > LARGE).select("bucket", F.col("pick.rep").alias("head"), F.col("pick.component").alias("own")), "heads")
+    if not heads.limit(1).count():
+        return None
+    return now.join(heads, "bucket").where("component <> own").select("rep", "head").distinct()
+
+
+def _split(shared: DataFrame, label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their components; and of each bucket in several components its size, largest component, a member and a print."""
+    now = written(_labelled(shared, label), "labelled")
+    pick = F.min(F.struct(F.xxhash64("bucket", "rep", F.lit(turn)).alias("h"), "rep", "component")).alias("pick")
+    sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), pick, F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print"))
+    whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"), F.min("pick").alias("pick"), F.count("*").alias("parts"), F.sum("print").alias("print"))
+    return now, whole.where("parts > 1")
+
+
 def _remaining(shared: DataFrame, shingles: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
-    """Links across components of a bucket that the comparison with its smallest member didn't see."""
-    now = shared.join(label, shared["rep"] == label["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    split = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print")).where("low <> high and n > 2")
-    once = split.groupBy("n", "print").agg(F.min("bucket").alias("bucket"))  # the same members may share several buckets
-    parts = written(now.join(once, "bucket").select("bucket", "rep", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "split")
+    """Links across components of a bucket that comparisons with single members didn't see.
+
+    Members outside the largest component (R) are compared with those in it (M) and with each other,
+    in groups of one block of R and one of M, or two of R; a group has at most two blocks.
+    """
+    now, split = _split(shared, label, 0)
+    once = split.where("n > 2").groupBy("n", "print").agg(F.min(F.struct("bucket", "major")).alias("b"))  # the same members may share several buckets
+    once = once.select("b.bucket", F.col("b.major.component").alias("major"), F.ceil(F.col("b.major.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n") - F.col("b.major.n")) / BLOCK).cast("int").alias("r"))
+    parts = written(now.join(once, "bucket").select("bucket", "rep", "component", (F.col("component") == F.col("major")).alias("in_m"), "m", "r"), "split")
     if not parts.limit(1).count():
         return None
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
-    dealt = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component")
-    full = dealt.join(shingles, dealt["rep"] == shingles["doc"]).select("bucket", "i", "j", "rep", "component", "shingles")
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.when(F.col("in_m"), F.col("m")).otherwise(F.col("r"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    of_m = F.transform(upto("r"), lambda i: key("RM", i, F.col("own")))
+    of_r = F.concat(F.transform(upto("m"), lambda j: key("RM", F.col("own"), j)), F.transform(upto("r"), lambda j: key("RR", F.least(F.col("own"), j), F.greatest(F.col("own"), j))))
+    dealt = parts.withColumn("own", own).select("bucket", "rep", "component", F.explode(F.when(F.col("in_m"), of_m).otherwise(of_r)).alias("g")).select("bucket", "g.*", "rep", "component")
+    dealt = written(dealt, "dealt")
+    full = shingles.join(small(dealt), shingles["doc"] == dealt["rep"]).select("bucket", "kind", "i", "j", "rep", "component", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         docs, labels = table.column("rep").to_numpy(), table.column("component").to_numpy()
@@ -181,10 +225,10 @@ def _remaining(shared: DataFrame, shingles: DataFrame, label: DataFrame, percent
         found = links_within(docs, labels, [values[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return written(full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"), "further")
+    return written(full.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long"), "further")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 4_000_000) -> DataFrame:
     """The rows of docs without near duplicates of a smaller document; few ids are broadcast, more are joined."""
     gone = written(near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(id_col).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, id_col, "left_anti")
+    return among(docs, gone, id_col, "left_anti", most_broadcast)
