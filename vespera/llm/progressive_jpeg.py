@@ -13,13 +13,16 @@ ones, restart intervals of `RESTART` units, and this script of scans: DC without
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
 RESTART = 4
+RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 #: (components, first and last coefficient, bits done before, bits left)
 SCRIPT = (((0, 1, 2), 0, 0, 0, 1), *((((c,), 1, 5, 0, 1)) for c in range(3)), *((((c,), 6, 63, 0, 0)) for c in range(3)), *((((c,), 1, 5, 1, 0)) for c in range(3)), ((0, 1, 2), 0, 0, 1, 0))
 
@@ -329,18 +332,20 @@ def _parse(number: int, data: bytes) -> tuple[Image, list[_Scan]]:
     return im, scans
 
 
-def _blocks_of(im: Image, components: tuple[int, ...], offsets: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of a scan, in order: coefficient row (in one array of all blocks) and place in `components`; blocks a unit."""
+def _blocks_of(height: int, width: int, shape: tuple[tuple[int, int, int, int], ...], components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a scan, in order: block (from the image's first one) and place in `components`; blocks a unit."""
+    im = Image(height, width, components=list(shape))
+    rows, cols = im.units()
+    sizes = [rows * v * cols * h for _, h, v, _ in shape]
+    offsets = [sum(sizes[:c]) for c in range(len(shape))]
     if len(components) == 1:
         c = components[0]
-        rows, cols = im.grid(c)
-        wide = im.coefficients[c].shape[1]
-        at = offsets[c] + (np.arange(rows)[:, None] * wide + np.arange(cols)[None, :]).reshape(-1)
+        high, wide = im.grid(c)
+        at = offsets[c] + (np.arange(high)[:, None] * (cols * shape[c][1]) + np.arange(wide)[None, :]).reshape(-1)
         return at, np.zeros(len(at), np.int64), 1
-    rows, cols = im.units()
     parts, place = [], []
     for j, c in enumerate(components):
-        _, h, v, _ = im.components[c]
+        _, h, v, _ = shape[c]
         y = np.arange(rows)[:, None, None, None] * v + np.arange(v)[None, None, :, None]
         x = np.arange(cols)[None, :, None, None] * h + np.arange(h)[None, None, None, :]
         parts.append((offsets[c] + y * (cols * h) + x).reshape(rows * cols, h * v))
@@ -349,6 +354,9 @@ def _blocks_of(im: Image, components: tuple[int, ...], offsets: list[int]) -> tu
     return at.reshape(-1), np.tile(np.array(place), rows * cols), len(place)
 
 
+_known_blocks = lru_cache(2048)(_blocks_of)
+
+
 class _Reader:
     """Streams over one buffer: each has a bit position."""
 
@@ -384,21 +392,17 @@ class _Reader:
 
 def _split(scan: _Scan) -> list[bytes]:
     """The restart intervals of a scan, without stuffing."""
-    data = scan.data
-    if b"\xff" not in data:
-        return [data]
-    raw = np.frombuffer(data, np.uint8)
-    mark = np.flatnonzero(raw == 0xFF)
-    marks = mark[(raw[mark + 1] & 0xF8) == 0xD0].tolist()
-    return [data[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip([0, *(m + 2 for m in marks)], [*marks, len(data)], strict=True)]
+    return [p.replace(b"\xff\x00", b"\xff") for p in RESTARTS.split(scan.data)]
 
 
-def _run_scans(scans: list[_Scan], images: list[Image], store: np.ndarray, offsets: list[list[int]]) -> None:
+def _run_scans(scans: list[_Scan], images: list[Image], store: np.ndarray, offsets: list[int]) -> None:
     """Scans of one kind, each of another image."""
     parts, blocks, places, firsts, counts = [], [], [], [], []
     total = 0
     for s in scans:
-        at, place, unit = _blocks_of(images[s.image], s.components, offsets[s.image])
+        im = images[s.image]
+        known = _known_blocks if im.height * im.width < 1 << 18 else _blocks_of  # small images often have the same size
+        at, place, unit = known(im.height, im.width, tuple(im.components), s.components)
         step = s.restart * unit if s.restart else len(at)
         pieces = _split(s)
         begin = np.arange(0, len(at), step)
@@ -407,7 +411,7 @@ def _run_scans(scans: list[_Scan], images: list[Image], store: np.ndarray, offse
         parts += pieces
         firsts.append(begin + total)
         counts.append(np.minimum(step, len(at) - begin))
-        blocks.append(at)
+        blocks.append(at + offsets[s.image])
         places.append(place)
         total += len(at)
     lengths = np.array([len(p) for p in parts])
@@ -512,13 +516,9 @@ def decode(files: list[bytes]) -> list[Image]:
     """Images with all their scans accumulated."""
     parsed = [_parse(i, f) for i, f in enumerate(files)]
     images = [im for im, _ in parsed]
-    flat = [(im, c) for im in images for c in im.coefficients]
-    bounds = np.concatenate([[0], np.cumsum([c.shape[0] * c.shape[1] for _, c in flat])]).astype(np.int64)
-    store = np.zeros((int(bounds[-1]), 64), np.int32)
-    offsets, k = [], 0
-    for im in images:
-        offsets.append([int(bounds[k + j]) for j in range(len(im.coefficients))])
-        k += len(im.coefficients)
+    counts = [sum(c.shape[0] * c.shape[1] for c in im.coefficients) for im in images]
+    offsets = np.cumsum([0, *counts])[:-1].tolist()
+    store = np.zeros((sum(counts), 64), np.int32)
     for step in range(max((len(s) for _, s in parsed), default=0)):
         alike = defaultdict(list)
         for _, scans in parsed:
@@ -527,8 +527,13 @@ def decode(files: list[bytes]) -> list[Image]:
                 alike[len(s.components), s.tables, s.band].append(s)
         for group in alike.values():
             _run_scans(group, images, store, offsets)
-    for im, own in zip(images, offsets, strict=True):
-        im.coefficients = [store[o : o + c.shape[0] * c.shape[1]].reshape(c.shape) for o, c in zip(own, im.coefficients, strict=True)]
+    for im, at in zip(images, offsets, strict=True):
+        planes = []
+        for c in im.coefficients:
+            n = c.shape[0] * c.shape[1]
+            planes.append(store[at : at + n].reshape(c.shape))
+            at += n
+        im.coefficients = planes
     return images
 
 
