@@ -92,26 +92,36 @@ def query_values(query: Sequence[float], element: Element) -> list:
     return values.tolist()
 
 
-def _sum(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
-
-
-def _unrolled(vec: Column, q: list, metric: Metric, element: Element) -> Column:
-    """Left to right, as the higher-order form; arrays shorter than the query give null."""
-    at = [F.get(vec, F.lit(i)) for i in range(len(q))]
-    lit = [F.lit(x).cast(element.sql) for x in q]
-    w = lambda x: _wide(x, element)
+def _sum(terms: list[str]) -> Column:
+    """Left to right, as the higher-order form. One parsed text: a call into the JVM for each term would take longer than a search."""
+    return F.expr(" + ".join(terms))
+
+
+def _terms(vec: str, q: list, element: Element) -> tuple[list[str], list[str]]:
+    """The components of a column and of the query, in SQL; arrays shorter than the query give null."""
+    at = [f"get(`{vec}`, {i})" for i in range(len(q))]
+    return at, [f"cast({x} as smallint)" if element is Element.i16 else f"cast({x!r}D as float)" for x in q]
+
+
+def _wide_sql(x: str, element: Element) -> str:
+    return f"cast({x} as bigint)" if element is Element.i16 else f"cast({x} as double)"
+
+
+def _product(vec: str, q: list, element: Element) -> Column:
+    at, lit = _terms(vec, q, element)
+    return _sum([f"cast({_wide_sql(x, element)} * {_wide_sql(y, element)} as double)" for x, y in zip(at, lit, strict=True)])
+
+
+def _unrolled(vec: str, q: list, metric: Metric, element: Element) -> Column:
+    at, lit = _terms(vec, q, element)
+    wide = [(_wide_sql(x, element), _wide_sql(y, element)) for x, y in zip(at, lit, strict=True)]
     if metric is Metric.l1:
-        plain = element is Element.f32
-        return _sum([F.abs(x - y if plain else w(x) - w(y)).cast("double") for x, y in zip(at, lit, strict=True)])
+        plain = zip(at, lit, strict=True) if element is Element.f32 else wide
+        return _sum([f"cast(abs({x} - {y}) as double)" for x, y in plain])
     if metric is Metric.l2:
-        d = [w(x) - w(y) for x, y in zip(at, lit, strict=True)]
-        return _sum([(x * x).cast("double") for x in d])
-    product = _sum([(w(x) * w(y)).cast("double") for x, y in zip(at, lit, strict=True)])
-    return cos_from_norms(product, _sum([(w(x) * w(x)).cast("double") for x in at]), F.lit(float(sum(x * x for x in q))))
+        return _sum([f"cast(({x} - {y}) * ({x} - {y}) as double)" for x, y in wide])
+    norm = _sum([f"cast({x} * {x} as double)" for x, _ in wide])
+    return cos_from_norms(_product(vec, q, element), norm, F.lit(float(sum(x * x for x in q))))
 
 
 def numpy_distances(rows: np.ndarray, q: np.ndarray, metric: Metric, element: Element) -> np.ndarray:
@@ -151,8 +161,8 @@ def _in_numpy(vec: Column, q: list, metric: Metric, element: Element) -> Column:
     return run(vec)
 
 
-def distance_to(vec: Column, query: Sequence[float], metric: Metric | str, element: Element | str = Element.f32, strategy: str = "auto") -> Column:
-    """Distance of a vector column to one query; strategy: unrolled, numpy, lambda or auto."""
+def distance_to(vec: str, query: Sequence[float], metric: Metric | str, element: Element | str = Element.f32, strategy: str = "auto") -> Column:
+    """Distance of the vector column of this name to one query; strategy: unrolled, numpy, lambda or auto."""
     metric, element = Metric.of(metric), Element.of(element)
     q = query_values(query, element)
     if strategy == "auto":
@@ -160,22 +170,18 @@ def distance_to(vec: Column, query: Sequence[float], metric: Metric | str, eleme
     if strategy == "unrolled":
         return _unrolled(vec, q, metric, element)
     if strategy == "numpy":
-        return _in_numpy(vec, q, metric, element)
+        return _in_numpy(F.col(vec), q, metric, element)
     if strategy != "lambda":
         raise EngineError(f"unknown strategy: {strategy!r}")
-    return BETWEEN[metric](vec, F.array(*(F.lit(x).cast(element.sql) for x in q)), element)
+    return BETWEEN[metric](F.col(vec), F.array(*(F.lit(x).cast(element.sql) for x in q)), element)
 
 
-def stored_cos_to(vec: Column, inv_norm: Column, query: Sequence[float], element: Element | str = Element.f32) -> Column:
+def stored_cos_to(vec: str, inv_norm: Column, query: Sequence[float], element: Element | str = Element.f32) -> Column:
     """Cosine distance by stored single-precision inverse norms; the query's is in double precision."""
     element = Element.of(element)
     q = query_values(query, element)
     n = sum(x * x for x in q)
-    w = lambda x: _wide(x, element)
-    if len(q) <= UNROLLED:
-        product = _sum([(w(F.get(vec, F.lit(i))) * w(F.lit(x).cast(element.sql))).cast("double") for i, x in enumerate(q)])
-    else:
-        product = dot(vec, F.array(*(F.lit(x).cast(element.sql) for x in q)), element)
+    product = _product(vec, q, element) if len(q) <= UNROLLED else dot(F.col(vec), F.array(*(F.lit(x).cast(element.sql) for x in q)), element)
     return cos_from_inverse_norms(product, inv_norm, F.lit(1 / math.sqrt(n) if n else 0.0))
 
 

@@ -63,9 +63,9 @@ def knn(
     q, metric = check_query(query), Metric.of(metric)
     n = effective_k(k, limit, offset)
     if inv_norm_col and metric is Metric.cos:
-        d = metrics.stored_cos_to(F.col(vec_col), F.col(inv_norm_col), q, element)
+        d = metrics.stored_cos_to(vec_col, F.col(inv_norm_col), q, element)
     else:
-        d = metrics.distance_to(F.col(vec_col), q, metric, element, strategy)
+        d = metrics.distance_to(vec_col, q, metric, element, strategy)
     best = allow(df, allowed, id_col).select(F.col(id_col).alias("id"), d.alias("distance"), *keep).orderBy("distance", "id").limit(max(n, 0))
     if rank:
         best = best.withColumn("rank", F.row_number().over(W.orderBy("distance", "id")))
