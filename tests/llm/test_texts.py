@@ -136,6 +136,20 @@ def test_decontamination(spark, most):
     assert spans[1] == "a ! and " or spans[1].startswith("a ")
 
 
+@pytest.mark.parametrize("most", [{}, {"most_windows": 1}])
+def test_decontamination_of_capital_sigma(spark, most):
+    texts = ["ΟΔΟΣ.ΑΒ ΓΔ", "ΟΔΟΣ ΑΒ ΓΔ", "ΟΔΟΣ", "ΑΒ:ΣΑΣ'ΓΔ EF", "ΑΒ ΣΑΣ ΓΔ ef", "οδος αβ γδ", "Σ.Σ^Σ`A", "σ σ σ a"]
+    items = [("a", "ΟΔΟΣ ΑΒ ΓΔ"), ("b", "ΑΒ ΣΑΣ.ΓΔ ef"), ("c", "Σ Σ Σ a"), ("d", "ΚΟΣΜΟΣ.ΓΗ ΖΩ")]
+    texts += ["ΚΟΣΜΟΣ ΓΗ ΖΩ", "ΚΟΣΜΟΣ.ΓΗ ΖΩ"]
+    docs = list(enumerate(texts))
+    bench = decontaminate.Benchmark(spark.createDataFrame(items, "item_id string, text string"), **most)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.decontaminate(docs, items)
+    assert [hit for *_, hit in want] == [True, True, False, True, True, False, True, False, True, True]
+    assert sorted(map(tuple, decontaminate.report(frame, bench).collect())) == sorted(want)
+    assert sorted(r["doc_id"] for r in decontaminate.remove_documents(frame, bench).collect()) == [2, 5, 7]
+
+
 def test_decontamination_without_items_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = decontaminate.Benchmark(spark.createDataFrame([], "item_id string, text string"))

@@ -5,9 +5,9 @@ executor inside the plan, once its size is checked; beyond the bound the windows
 their hashes instead (broadcast up to `most_broadcast` windows). Every window of every text is looked up, hits are verified word for word, and
 the documents, or the spans of their hit words, are removed.
 
-Normalisation lower-cases A-Z only. The lookup lower-cases all letters, which takes every true hit
-and perhaps more, and the exact words are made for texts with such hits only; both cut a text into
-the same words, as lower-casing makes no separator and removes none.
+Normalisation lower-cases A-Z only, in the lookup as well: lower-casing of all letters depends on
+what stands around a letter (a Greek capital sigma at the end of a word), so it would give a text
+and a benchmark item different words.
 
 A null or empty text has no words; so has an empty benchmark item, which never occurs. Rows are
 independent: a repeated row appears twice in the result. Repeated items each count. An empty
@@ -26,12 +26,9 @@ MIXED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-
-
-def _loose_words(text: Column) -> Column:
-    """As many words, all letters lower-cased: fast for ASCII texts."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    text = F.coalesce(text, F.lit(""))
+    lower = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))  # F.lower is fast, and the same for ASCII texts only
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def windows(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -62,7 +59,7 @@ class Benchmark:
         self.sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())
         self.sets: dict[int, tuple[list[int], list[str]]] = {}
         if self.small:
-            for r in distinct.select("size", "gram", F.xxhash64(F.split(F.lower("gram"), " ")).alias("h")).collect():
+            for r in distinct.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).collect():
                 hashes, grams = self.sets.setdefault(r["size"], ([], []))
                 hashes.append(r["h"])
                 grams.append(r["gram"])
@@ -83,7 +80,7 @@ class Benchmark:
             known = lambda x: F.lit(False) if not self.sizes else x["gram"].isin([g for k in self.sizes for g in self.sets[k][1]])
             return F.when(F.size(found) > 0, F.filter(_let(words(text), with_gram), known)).otherwise(none)
 
-        return _let(_let(_loose_words(text), loose), exact)
+        return _let(_let(words(text), loose), exact)
 
 
 def _covered(hits: Column) -> Column:
@@ -122,7 +119,7 @@ def with_hits(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> Data
 def report(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated of every text."""
     rows = with_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bench)
-    counted = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(_loose_words(F.col("text"))).cast("long").alias("n_words"), _covered(F.col("_hits")).alias("n_hit"), F.array_distinct(F.transform("_hits", lambda x: x["gram"])).alias("grams"))
+    counted = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(words(F.col("text"))).cast("long").alias("n_words"), _covered(F.col("_hits")).alias("n_hit"), F.array_distinct(F.transform("_hits", lambda x: x["gram"])).alias("grams"))
     items = bench.grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
     named = counted.withColumn("gram", F.explode_outer("grams")).drop("grams").join(items, "gram", "left")
     each = named.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
