@@ -107,6 +107,18 @@ def test_language_id(spark):
     assert few.log.shape == model.log.shape
 
 
+def test_language_id_samples_every_label(spark):
+    rows = [(i, "the of and thing", "en") for i in range(3000)] + [(5000 + i, "der und nicht", "de") for i in range(40)] + [(6000, "ja ei kyllä", "fi"), (6001, "12 34", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for train_docs in (90, 2):
+        model = language_id.fit(docs, F.lit(True), bits=12, train_docs=train_docs)
+        assert model.labels == ["de", "en", "fi"] and all(row[:-1].max() > row[:-1].min() for row in model.log)
+        assert model.predict(["kyllä", "nicht", "thing"])[0] == ["fi", "de", "en"] or train_docs == 2
+    assert language_id._part([3000, 40, 1], 90) == 49 and language_id._part([3000, 40, 1], 11) == 5 and language_id._part([5, 1], 90) == 5
+    whole = language_id.fit(docs, F.lit(True), bits=12)
+    assert whole.log.shape == model.log.shape and whole.prior.tolist() == model.prior.tolist()
+
+
 def test_language_id_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()

@@ -4,8 +4,10 @@ Feature counts of labelled training texts are summed in the cluster; the matrix
 probabilities (languages x 2^bits, a fixed size) is broadcast, and texts are scored in blocks in
 numpy: only the features that occur are looked up, and sums run over each text's own slice.
 
-The classifier is fitted on a sample of about `train_docs` labelled texts, drawn by a hash of the id
-(a documented bound); every text is scored whole. A text that is null or has no letter is `und`
+The classifier is fitted on a sample of about `train_docs` labelled texts with a letter, drawn by a hash
+of the id (a documented bound). Every label has an equal part of it; what labels with fewer rows leave
+goes to the others, and the row with the smallest hash of each label is always drawn, so no label is
+without features. Every text is scored whole. A text that is null or has no letter is `und`
 with score 0. Ties go to the label that sorts first. Rows are independent, so repeated rows need
 no rule; without labelled rows all texts are `und`.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from vespera.llm.common import blocks, map_arrow, strings
 
 LETTER = re.compile(r"[^\W\d_]")
+#: Texts that may have features; letters newer than the JVM's count too.
+LEARNABLE = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
 ORDERS = (2, 3)
 
 
@@ -70,13 +74,26 @@ class Model:
         return ["und" if u else self.labels[b] for u, b in zip(und, best, strict=True)], score
 
 
+def _part(sizes: list[int], total: int) -> float:
+    """The rows a label may have, so that all have `total` together: small labels leave theirs to the others."""
+    for i, n in enumerate(sorted(sizes)):
+        part = total / (len(sizes) - i)
+        if n >= part:
+            return part
+        total -= n
+    return float(max(sizes, default=0))
+
+
 def fit(docs: DataFrame, training: Column, bits: int = 16, train_docs: int = 20_000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """training: which rows may be learned from. At most languages x 2^(bits + 1) counts come to the driver."""
-    rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per_label = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LEARNABLE))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(5)), F.lit(1 << 40)).alias("key"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("least")).collect()
+    per_label = {r["lang"]: r["n"] for r in found}
     labels = sorted(per_label)
-    share = min(1.0, train_docs / max(1, sum(per_label.values())))
-    drawn = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(5)), F.lit(1 << 20)) < round(share * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    most = _part(list(per_label.values()), train_docs)
+    below = [(r["lang"], max(r["least"] + 1, round(min(1.0, most / r["n"]) * (1 << 40)))) for r in found]
+    drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("key < below").select("lang", "text")
     width = len(ORDERS) << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
