@@ -18,10 +18,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no letter, or for which no language reaches a probability of 0.5, go."""
+    """Documents whose text has no letter go, also where no labelled row is there to learn from."""
     docs = docs.select(*COLUMNS)
     model = language_id.fit(docs, remainder(F.col("doc_id"), 4) != 2)
-    return language_id.identify(docs, model).where("_lang <> 'und' and _score >= 0.5").select(*COLUMNS)
+    if not model.labels:
+        return language_id.lettered(docs)
+    return language_id.identify(docs, model).where("_lang <> 'und'").select(*COLUMNS)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,6 +257,16 @@ def test_classes_and_words_make_a_distribution(spark):
     assert lex.v == len(rows) and lex.n == sum(r["n"] for r in rows) and (sums <= 1 + 1e-9).all()
 
 
+@pytest.mark.parametrize("labels", [["a", "b", "c"], [None]])
+def test_pipeline_keeps_every_text_with_a_letter(spark, labels):
+    texts = ["one two", "x", "12 34", None, "", "É", "!!", "three"]
+    rows = [(i, texts[i % len(texts)], labels[i // len(texts) % len(labels)], "s", 1) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.identify_language(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+
+
 def test_pipeline(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     staged = common.table(spark, SF, "documents")

@@ -131,6 +131,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return out
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter: those that a model with labels doesn't call `und`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, text_col):
+            yield part.filter(pa.array([bool(LETTER.search(t)) for t in strings(part.column(text_col))], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def _with(schema, more: str):
     from pyspark.sql import types as T
 
