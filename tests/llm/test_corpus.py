@@ -194,6 +194,12 @@ def test_language_model(spark, most):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_vocabulary_holds_large_counts():
+    for largest in (2**32 - 1, 2**32, 2**40 + 7):
+        own = gated_lm.Vocabulary(np.array([5, -1, 3]), np.array([2, largest, 9]))
+        assert own.counts(np.array([2**64 - 1, 3, 4, 5], np.uint64)).tolist() == [largest, 9, 0, 2]
+
+
 def test_streams_do_not_change_scores():
     rng = np.random.default_rng(4)
     lengths = np.array([1, 900, 3, 40, 41, 17, 300, 2])

@@ -333,11 +333,12 @@ def class_scores(net: Network, classes: np.ndarray, first: np.ndarray, streams:
 
 
 class Vocabulary:
-    """Counts by sorted hash."""
+    """Counts by sorted hash; in 32 bits where all fit."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
         order = np.argsort(h.view(np.uint64))
-        self.h, self.n = h.view(np.uint64)[order], n[order].astype(np.uint32)
+        kind = np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64
+        self.h, self.n = h.view(np.uint64)[order], n[order].astype(kind)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.h):
