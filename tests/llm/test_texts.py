@@ -222,6 +222,15 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, rows).where("false")).count() == 0
 
 
+def test_license_scan_with_a_table(spark):
+    full = "Mozilla Public License Version 2.0\n\n1. Definitions" + " more of it" * 4000
+    table = spark.createDataFrame([("MPL-2.0", full), ("MIT", "The MIT License (MIT)\n\n" + license_scan.MIT), ("none", "!!!"), ("no text", None)], "license string, text string")
+    known = license_scan.known_digests(spark).unionByName(license_scan.table_digests(table))
+    rows = ["The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + license_scan.MIT, full.upper(), license_scan.ISC, "?", None, "other"]
+    got = by_id(license_scan.scan(frame(spark, rows), known))
+    assert [got[i]["license"] for i in range(len(rows))] == ["MIT", "MPL-2.0", "ISC", None, None, None] and len(got) == len(rows) + 1
+
+
 def test_media_round_trip(spark):
     texts = ["", "a", "é" * 700, "x y\n" * 5000, "\x00\x7f", *corpus(spark, 60), "a"]
     df = frame(spark, texts)

@@ -2,8 +2,9 @@
 
 A text is made canonical (case, copyright lines, punctuation, equivalent spellings) and digested;
 the digest is looked up among those of known licence texts by a hash join. The known table has a
-few rows of fixed number, made canonical by the same expressions, and is broadcast; a table handed
-in is broadcast by Catalyst only below its own threshold.
+few rows of fixed number (KNOWN: no full texts of Apache-2.0, the GPL family or MPL), made canonical by
+the same expressions, and is broadcast. Further texts and title variants are read from a table by
+`table_digests`; a table handed in is broadcast by Catalyst only below its own threshold.
 
 A null text, or one without a letter or digit, has a null digest and no licence. Rows are
 independent: repeated rows appear again; of known texts with one digest the smallest name counts.
@@ -79,8 +80,13 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark, known: dict[str, str] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame(sorted(known.items()), "license string, known string")
-    return rows.select("license", digest(F.col("known")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    return table_digests(spark.createDataFrame(sorted(known.items()), "license string, known string"), text_col="known")
+
+
+def table_digests(texts: DataFrame, license_col: str = "license", text_col: str = "text") -> DataFrame:
+    """digest, license of a table of known texts, for scan(known=...); texts without a letter or digit are left out."""
+    rows = texts.select(F.col(license_col).alias("license"), digest(F.col(text_col)).alias("digest")).where("digest is not null")
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
