@@ -5,11 +5,12 @@ transducer. A state holds what the tokens of a prefix can still influence: every
 that ends here, the last token before it, and how many tokens lie between. Each transition is
 annotated with the change of the token count, so a text is counted without building its tokens.
 
-A text is cut into chunks. A chunk's state map sends the state at its start to the state at its end
-and the tokens emitted between. No piece has a space after another character, so a chunk that
-starts with a space forgets its entry state and its map is constant; a chunk inside one long word
-keeps a map by entry state. The maps compose, which is associative; over a batch they compose
-through a prefix scan (for constant maps a cumulative sum).
+A text is cut into chunks, at its spaces. No piece has a space after another character, so a chunk
+that starts with a space forgets its entry state: its state map is constant, and over a batch such
+maps compose by a cumulative sum of their token counts. A word longer than a chunk is run from left
+to right, each part starting in the state the one before ended in. No maps by entry state are built
+for these parts, and no parallel scan composes them: a map would need a run from every state that
+may come before, of many thousands, while a text is counted by one task, which needs only one.
 
 Nulls and empty texts have no token. Rows are independent: ties, repeated rows and empty tables
 need no rule, and further columns are not read.
@@ -135,7 +136,7 @@ class Counter(dict):
         if len(word) <= self.chunk:
             n = self[word] = self.transducer.run(SPACE + word)[1]
             return n
-        state, n = self.transducer.run(SPACE)  # a long word: maps of its chunks, composed from left to right
+        state, n = self.transducer.run(SPACE)  # a long word: its parts one after another, the state handed on
         for at in range(0, len(word), self.chunk):
             state, more = self.transducer.run(word[at : at + self.chunk], state)
             n += more
