@@ -91,6 +91,24 @@ def test_substring_cut(spark):
     assert len(cut[None]) == 2
 
 
+def test_clashing_names(spark):
+    rows = tricky()
+    names = ["_kept", "_doc", "_changes", "row", "doc", "kept", "digest", "own", "_hits", "changes"]
+    docs = frame(spark, rows).drop("doc").select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names))
+    for out in (substring_dedup.cut(docs), near_dedup.keep_one(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in names)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).where("false")
     assert substring_dedup.report(none).count() == near_dedup.near_duplicates(none).count() == gated_lm.score(none, F.lit(True)).count() == 0
@@ -101,7 +119,7 @@ def test_fm_index_counts():
     rng = np.random.default_rng(1)
     lengths = np.array([70, 120, 55, 300])
     symbols = rng.integers(0, 3, lengths.sum()) * 7
-    index = fm_index.FMIndex(symbols, lengths)
+    index = fm_index.FMIndex(symbols, lengths, np.arange(4), 50)
     parts = np.split(symbols, np.cumsum(lengths)[:-1])
     for pattern in ([0], [7, 0], [14, 14, 7], [0, 7, 7, 14, 0]):
         low, high = np.array([0]), np.array([index.size])
@@ -112,6 +130,43 @@ def test_fm_index_counts():
         assert int(high[0] - low[0]) == want
 
 
+@pytest.mark.parametrize("kinds", [2, 4, 40])
+def test_matching_statistics_of_texts_outside_the_index(kinds):
+    rng = np.random.default_rng(kinds)
+    depth = 6
+    lengths, streamed = np.array([30, 1, 57, 12, 90]), np.array([40, 3, 0, 75])
+    symbols, other = rng.integers(0, kinds, lengths.sum()), rng.integers(0, kinds + 1, streamed.sum())
+    values = np.array([5, 9, 3, 7, 4])
+    other[10:35] = symbols[31:56]  # a passage of the third segment
+    index = fm_index.FMIndex(symbols, lengths, values, depth)
+    parts, ends = np.split(symbols, np.cumsum(lengths)[:-1]), np.cumsum(streamed)
+    found, interval = index.statistics(other, ends - streamed, streamed)
+    holders = {}
+    for p, v in zip(parts, values):
+        for i in range(len(p)):
+            for n in range(1, depth + 1):
+                if i + n <= len(p):
+                    holders.setdefault(tuple(p[i : i + n]), set()).add(v)
+    for a, b in zip(ends - streamed, ends):
+        for i in range(a, b):
+            want = max((n for n in range(1, min(depth, b - i) + 1) if tuple(other[i : i + n]) in holders), default=0)
+            assert found[i] == want
+            if want == depth:
+                assert index.least[interval[i]] == min(holders[tuple(other[i : i + depth])])
+    assert (found == 0).any() and (found == depth).any() and ((found > 0) & (found < depth)).any()
+
+
+def test_the_threshold_decides_in_the_index():
+    """A passage of 49 words in a smaller document takes nothing, of 50 one window; the streamed text is not in the index."""
+    for n in (49, 50, 61):
+        texts = [np.arange(1000, 1090), np.concatenate([np.arange(5, 30), np.arange(1010, 1010 + n), np.arange(60, 90)])]
+        lengths = np.array([len(t) for t in texts])
+        words, first, low = np.concatenate(texts), np.array([0, 90]), np.array([3, 8])
+        hit = substring_dedup._matched(words, first, lengths - 49, np.zeros(2, np.int64), low, 50)
+        assert substring_dedup.repeated_windows(words, lengths, low).tolist() == hit.tolist()
+        assert np.flatnonzero(hit).tolist() == [41 + 25 + i for i in range(n - 49)]
+
+
 def test_near_duplicates(spark, monkeypatch):
     for block in (32,):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
@@ -139,7 +194,7 @@ def test_turns_of_comparison_with_one_member(spark, monkeypatch):
 def test_keep_one(spark):
     rows = tricky()[:30]
     want = sorted((i for i, _, _, kept in brute.near_duplicates(rows) if kept or i is None), key=repr)
-    for most in (4_000_000, -1):
+    for most in (common.BROADCAST, -1):
         assert sorted((r["doc_id"] for r in near_dedup.keep_one(frame(spark, rows), most_broadcast=most).collect()), key=repr) == want
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder in a session whose executors are the driver itself, as in tests;
+    on a cluster an error, as executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vespera-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -39,16 +46,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(table: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast if it has at most so many rows; else Catalyst chooses."""
-    return F.broadcast(table) if table.count() <= most else table
+#: Bytes of a table's columns that may be broadcast; in memory they take a few times as much.
+BROADCAST = 64 << 20
+
 
+def small(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A written table, to be broadcast if its rows have at most so many bytes by their types; else Catalyst chooses."""
+    width = sum(f.dataType.simpleString() in ("string", "binary") and 48 or 8 for f in table.schema.fields)
+    return F.broadcast(table) if table.count() * width <= most else table
 
-def among(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = 4_000_000) -> DataFrame:
+
+def among(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = BROADCAST) -> DataFrame:
     """The rows with an id of a written table, or without (left_anti). Few ids are broadcast, more are joined."""
     return rows.join(small(ids, most), on, how)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct `row`, and further columns: whatever the names in docs, none clashes. `row.*` unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches of 1,000 rows where the session leaves Spark's default of 10,000.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import among, blocks, map_arrow, small, written
+from vespera.llm.common import BROADCAST, among, blocks, map_arrow, small, written
 from vespera.llm.components import components
 from vespera.llm.wordhash import grams, inside, mixed, words_of
 
@@ -228,7 +228,7 @@ def _remaining(shared: DataFrame, shingles: DataFrame, label: DataFrame, percent
     return written(full.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long"), "further")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = BROADCAST) -> DataFrame:
     """The rows of docs without near duplicates of a smaller document; few ids are broadcast, more are joined."""
     gone = written(near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(id_col).distinct(), "gone")
     return among(docs, gone, id_col, "left_anti", most_broadcast)

@@ -4,17 +4,21 @@ A window is `n` (50) consecutive words. Windows with equal words have the same m
 smallest hash among their 8-word grams; so only windows whose minimiser occurs in several documents
 can repeat, and windows of one minimiser meet in one shard. A run of windows with one minimiser is
 a segment. Equal segments are joined first; a minimiser with one distinct segment needs no index.
-The other distinct segments of a shard are indexed (wavelet matrix over the words' hashes), the
-segments are streamed through backward search, and every position whose match is at least `n`
-words long reports its suffix interval; the interval's smallest document decides. A minimiser with
-more words than a shard may hold is resolved by hashes of its single windows, summed in the cluster.
+In a shard, windows are sorted out once more by minimisers of 32 words. Then segments of smaller documents are indexed (wavelet matrix over the words' hashes) and
+segments of larger ones, which aren't in the index, are streamed through backward search. That
+gives their matching statistics; where at least `n` words match, the suffix interval is reported,
+and a smaller document in it takes the window away. A minimiser with more words than a shard may
+hold is resolved by hashes of its single windows, summed in the cluster.
 
 Texts with equal words are joined before all this: from 50 words on all but the smallest document
 lose everything. A word is removed if a window over it also starts in a document with a smaller id;
 windows are judged on the input. Words are held as 64-bit hashes; a false hit has odds of 2^-60.
 
-Null and empty texts have no words. A null id is never removed from and removes nothing. Rows with
-the same id don't remove from each other, as no id is smaller. An empty table gives an empty result.
+Ids are numbers and are compared as 64-bit integers; a string id that isn't one is an error under ANSI
+SQL, else a null id. A null id is never removed from and removes nothing. Null and empty texts have
+no words. Rows with the same id don't remove from each other, as no id is smaller. Repeated rows are
+judged alike. Further columns may have any names and stay as they are. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import among, blocks, map_arrow, strings, written
+from vespera.llm.common import BROADCAST, among, blocks, map_arrow, packed, strings, written
 from vespera.llm.fm_index import FMIndex
 from vespera.llm.wordhash import BASE, UNBASE, Words, grams, inside, mixed, powers, words_of
 
-WINDOW, GRAM, SHARD_WORDS, HOT_WORDS, PIECE = 50, 8, 300_000, 400_000, 256
+WINDOW, GRAM, LONG_GRAM, SHARD_WORDS, HOT_WORDS, PIECE = 50, 8, 32, 300_000, 400_000, 256
 
 
 def minimisers(words: Words, n: int = WINDOW, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +79,21 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(words.counts), pa.array(digest, pa.binary()), _lists(value[new].view(np.int64), counts)], ["doc", "n_words", "digest", "mins"])
 
 
-def segments_of(words: Words, flagged: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Of windows with flagged minimisers: text, minimiser, first window (word index), windows, identity."""
-    at, value = minimisers(words)
+def segments_of(words: Words, k: int = GRAM, flagged: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Of windows (with flagged minimisers): text, minimiser, first window (word index), windows, identity."""
+    at, value = minimisers(words, k=k)
     of = words.text_of()[at]
     new = _runs(at, value, of)
     if not len(new):
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
     count = np.diff(np.append(new, len(at)))
-    keep = np.zeros(len(new), bool)
-    bounds = np.searchsorted(of[new], np.arange(len(flagged) + 1))
-    for i, own in enumerate(flagged):
-        keep[bounds[i] : bounds[i + 1]] = np.isin(value[new[bounds[i] : bounds[i + 1]]], own)
-    new, count = new[keep], count[keep]
+    if flagged is not None:
+        keep = np.zeros(len(new), bool)
+        bounds = np.searchsorted(of[new], np.arange(len(flagged) + 1))
+        for i, own in enumerate(flagged):
+            keep[bounds[i] : bounds[i + 1]] = np.isin(value[new[bounds[i] : bounds[i + 1]]], own)
+        new, count = new[keep], count[keep]
     first, length = at[new], count + WINDOW - 1
     sums = np.zeros(len(words.hashes) + 1, np.uint64)
     np.cumsum(words.hashes * powers(BASE, len(words.hashes)), out=sums[1:])
@@ -100,7 +105,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches, "text"):
         words = words_of(part.column("text"))
         flagged = [np.array(x, np.int64).view(np.uint64) for x in part.column("mins").to_pylist()]
-        of, value, first, count, ident = segments_of(words, flagged)
+        of, value, first, count, ident = segments_of(words, flagged=flagged)
         yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(of)), part.column("digest").take(pa.array(of)), pa.array(value.view(np.int64)), pa.array(ident.view(np.int64)), pa.array(first - words.first[of]), pa.array(count)], ["doc", "digest", "m", "seg", "start", "windows"])
 
 
@@ -118,51 +123,98 @@ def _providers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(seg), pa.array(low), pa.array(hot), _lists(words.hashes[take].view(np.int64), length)], ["m", "seg", "low", "hot", "words"])
 
 
-RUNS = "array<struct<a:int,b:int,low:long>>"
-RUN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())]))
+RUNS = "array<struct<a:int,b:int>>"
 
 
-def smallest_documents(words: np.ndarray, lengths: np.ndarray, low: np.ndarray, n: int = WINDOW) -> list[np.ndarray]:
-    """For each window of each segment the smallest document among all segments that hold it."""
-    index = FMIndex(words, lengths)
-    doc = np.repeat(low, lengths + 1)[index.suffixes]
-    begin, _ = index.groups(n)
-    heads = np.flatnonzero(begin == np.arange(index.size))
-    least = np.zeros(index.size, np.int64)
-    least[heads] = np.minimum.reduceat(doc, heads)
-    out = [np.zeros(k - n + 1, np.int64) for k in lengths]
-    pieces = [(i, a, min(PIECE, k - n + 1 - a)) for i, k in enumerate(lengths) for a in range(0, k - n + 1, PIECE)]
-    seg, first, count = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-    flat = np.concatenate(out)
-    base = np.concatenate([[0], np.cumsum(lengths - n + 1)[:-1]])
-    for query, at, interval in index.matches(index.starts[seg] + first, count + n - 1, n):
-        own = seg[query]
-        flat[base[own] + at - index.starts[own]] = least[interval]
-    return np.split(flat, base[1:])
+def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of slices, one after another."""
+    begin = np.cumsum(length) - length
+    return np.repeat(first - begin, length) + np.arange(int(length.sum()))
+
+
+def _matched(words: np.ndarray, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Which windows of segments (places in words, minimisers, documents) a smaller document has, by the index.
+
+    The segments of a minimiser are numbered by their documents. For each binary digit of the numbers, those
+    with a 0 there are indexed, and those with a 1 are streamed; two segments differ first in one digit,
+    and there the smaller one is in the index. So the index has none of the texts that it answers for.
+    """
+    base = np.cumsum(windows) - windows
+    out = np.zeros(int(windows.sum()), bool)
+    if not len(first):
+        return out
+    order = np.lexsort((low, group))
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    counts = np.diff(np.append(heads, len(order)))
+    number, several = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    number[order], several[order] = np.arange(len(order)) - np.repeat(heads, counts), np.repeat(counts, counts)
+    for digit in range(int(number.max()).bit_length()):
+        own, one = several > 1 << digit, (number >> digit & 1).astype(bool)
+        held, streamed = np.flatnonzero(own & ~one), np.flatnonzero(own & one)
+        index = FMIndex(words[_spans(first[held], windows[held] + n - 1)], windows[held] + n - 1, low[held], n)
+        parts = -(-windows[streamed] // PIECE)
+        owner, piece = np.repeat(streamed, parts), _spans(np.zeros(len(parts), np.int64), parts)
+        size = np.minimum(PIECE, windows[owner] - piece * PIECE)
+        depth, interval = index.statistics(words, first[owner] + piece * PIECE, size + n - 1)
+        at = _spans(np.cumsum(size + n - 1) - (size + n - 1), size)  # only these begin a whole window of the piece
+        hit = (depth[at] >= n) & (index.least[interval[at]] < np.repeat(low[owner], size))
+        out[_spans(base[owner] + piece * PIECE, size)[hit]] = True
+    return out
+
+
+def repeated_windows(words: np.ndarray, lengths: np.ndarray, low: np.ndarray, n: int = WINDOW) -> np.ndarray:
+    """Of a shard's segments (words' hashes, one after another; lengths; first documents): which windows a smaller document has.
+
+    Before anything is indexed, segments are cut again by longer minimisers, and windows whose longer
+    minimiser stands in one segment only are left out, as they can't repeat; equal pieces are joined.
+    """
+    first = np.cumsum(lengths) - lengths
+    base = np.cumsum(lengths - n + 1) - (lengths - n + 1)
+    out = np.zeros(int((lengths - n + 1).sum()), bool)
+    none = np.zeros(0, np.int64)
+    of, value, at, windows, ident = segments_of(Words(words.view(np.uint64), none, none, np.append(first, len(words)), none), LONG_GRAM)
+    group, size = np.unique(value, return_inverse=True, return_counts=True)[1:]
+    often = np.flatnonzero(size[group] > 1)
+    of, group, at, windows, ident = of[often], group[often], at[often], windows[often], ident[often]
+    doc = low[of]
+    order = np.lexsort((doc, ident, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (ident[order][1:] != ident[order][:-1])
+    sole = order[new]  # the smallest document's of each text
+    rep = np.empty(len(order), np.int64)
+    rep[order] = np.cumsum(new) - 1
+    found = _matched(words, at[sole], windows[sole], group[sole], doc[sole], n)
+    begin = np.cumsum(windows[sole]) - windows[sole]
+    hit = found[_spans(begin[rep], windows)] | np.repeat(doc[sole][rep] < doc, windows)
+    out[_spans(base[of] + at - first[of], windows)] = hit
+    return out
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """One shard: its distinct segments -> runs of windows and the smallest document that holds them."""
+    """One shard: its distinct segments -> runs of windows that a smaller document has, where there are some."""
     lists = table.column("words").combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64)
-    words = lists.values.to_numpy()[bounds[0] : bounds[-1]]
-    low = table.column("low").to_numpy()
-    found = smallest_documents(words, np.diff(bounds), low)
-    runs = []
-    for x in found:
-        new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        runs.append([{"a": int(a), "b": int(b), "low": int(x[a])} for a, b in zip(new, np.append(new[1:], len(x)), strict=True)])
-    return pa.table({"m": table.column("m"), "seg": table.column("seg"), "runs": pa.array(runs, RUN_TYPE)})
+    words, windows = lists.values.to_numpy()[bounds[0] : bounds[-1]], np.diff(bounds) - WINDOW + 1
+    hit = repeated_windows(words, np.diff(bounds), table.column("low").to_numpy())
+    base = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(windows)), windows)
+    begin, end = hit.copy(), hit.copy()
+    begin[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
+    end[:-1] &= ~(hit[1:] & (owner[1:] == owner[:-1]))
+    a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    found, count = np.unique(owner[a], return_counts=True)
+    runs = pa.StructArray.from_arrays([pa.array((a - base[owner[a]]).astype(np.int32)), pa.array((b - base[owner[a]]).astype(np.int32))], ["a", "b"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), runs)
+    return pa.table([table.column("m").take(pa.array(found)), table.column("seg").take(pa.array(found)), lists], ["m", "seg", "runs"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single windows of the segments of a hot minimiser."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = np.array(batch.column("words")[i].as_py(), np.int64).view(np.uint64)
-            h = grams(words, WINDOW, 51).view(np.int64)
-            k = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("m")[i].as_py()] * k, pa.int64()), pa.array([batch.column("seg")[i].as_py()] * k, pa.int64()), pa.array([batch.column("low")[i].as_py()] * k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array(h)], ["m", "seg", "low", "a", "h"])
+            h = grams(batch.column("words")[i].values.to_numpy().view(np.uint64), WINDOW, 51).view(np.int64)
+            own = [pa.array(np.full(len(h), batch.column(x)[i].as_py())) for x in ("m", "seg", "low")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["m", "seg", "low", "a", "h"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +235,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranges(occurrences: DataFrame, answers: DataFrame) -> DataFrame:
     """doc, digest, ranges: word ranges to remove, of documents that have some."""
     joined_ = occurrences.join(answers, ["m", "seg"])
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"), F.col("low").alias("low")))
-    own = F.concat(whole, F.coalesce("runs", F.array().cast(RUNS)))  # the segment's first document has all its windows
-    hit = F.filter(own, lambda r: r["low"] < F.col("doc"))
-    each = joined_.select("doc", "digest", F.transform(hit, lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (WINDOW - 1)).alias("b"))).alias("ranges")).where(F.size("ranges") > 0)
+    whole = F.when(F.col("low") < F.col("doc"), F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"))))  # the segment's first document has all its windows
+    each = joined_.select("doc", "digest", F.transform(F.coalesce(whole, "runs", F.array().cast(RUNS)), lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (WINDOW - 1)).alias("b"))).alias("ranges")).where(F.size("ranges") > 0)
     return each.groupBy("doc", "digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
@@ -222,8 +272,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shard = F.pmod(F.xxhash64("m", F.lit(7)), F.lit(shards)).cast("int")
     cool = held.where("not hot").repartition(shards, shard).groupBy(shard.alias("shard")).applyInArrow(_resolve, f"m long, seg long, runs {RUNS}")
     single = map_arrow(held.where("hot"), _windows, "m long, seg long, low long, a int, h long")
-    least = single.groupBy("h").agg(F.min("low").alias("least"))
-    hot = single.join(least, "h").where("least < low").groupBy("m", "seg").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), F.col("least").alias("low"))).alias("runs"))
+    shared = single.groupBy("h").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("h", "least")
+    shared = written(shared, "windows")  # a plain side, so that the windows of a hot one can be split
+    hot = single.join(shared, "h").where("least < low").groupBy("m", "seg").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("runs"))
     runs = written(cool.unionByName(hot), "runs")
     answers = written(distinct.select("m", "seg", "low").join(runs, ["m", "seg"], "left"), "answers")  # a plain side, so that a hot segment's occurrences can be split
     ranges = _ranges(occurrences, answers)
@@ -250,17 +301,19 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("doc").alias(id_col), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 4_000_000) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = BROADCAST) -> DataFrame:
     """The rows of docs without repeated words; rows that lose all words go, rows that lose none keep their text."""
     profile, edited = repeated(docs, id_col, text_col)
     copies = profile.where("copy").select("doc", "digest", F.lit("").alias("kept"))
     changed = edited.select("doc", "digest", "kept").unionByName(copies).groupBy("doc", "digest").agg(F.first("kept").alias("kept"))
-    by_id = written(changed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("digest", "kept")).alias("_changes")), "changes")
+    by_id = written(changed.groupBy("doc").agg(F.collect_list(F.struct("digest", "kept")).alias("changes")), "changes")
+    ids = written(by_id.select("doc"), "changed")
     words = F.array_remove(F.split(F.col(text_col), "[\\x09-\\x0D\\x20]+"), "")
     own = F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256))  # rows with one id may have several texts
-    mine = F.filter("_changes", lambda x: x["digest"] == own)
-    ids = by_id.select(F.col("_doc").alias(id_col))
-    rows = among(docs, ids, id_col, most=most_broadcast).join(by_id, docs[id_col] == by_id["_doc"])
-    kept = F.when(F.size(mine) > 0, F.element_at(F.transform(mine, lambda x: x["kept"]), 1))
-    edited_rows = rows.withColumn("_kept", kept).where("_kept is null or _kept <> ''").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
-    return edited_rows.unionByName(among(docs, ids, id_col, "left_anti", most_broadcast).select(*docs.columns))
+    rows = packed(docs, doc=F.col(id_col).cast("long"))
+    mine = packed(docs, doc=F.col(id_col).cast("long"), text=F.col(text_col), own=own)
+    hit = among(mine, ids, "doc", most=most_broadcast).join(by_id, "doc")
+    same = F.filter("changes", lambda x: x["digest"] == F.col("own"))
+    kept = F.when(F.size(same) > 0, F.element_at(F.transform(same, lambda x: x["kept"]), 1))
+    edited_rows = hit.withColumn("kept", kept).where("kept is null or kept <> ''").select(F.col("row").withField(f"`{text_col}`", F.coalesce("kept", "text")).alias("row"))
+    return edited_rows.unionByName(among(rows, ids, "doc", "left_anti", most_broadcast).select("row")).select("row.*")
