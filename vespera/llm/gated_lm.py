@@ -6,16 +6,20 @@ A recurrent network with an update gate predicts the class of the next word from
 within a class a word has its smoothed share of the class's training tokens. So
 log P(text) = sum over tokens of log P(class | history) + log P(word | class).
 
-Counts come from all training texts. Training goes through all training texts once, in two rounds
-of truncated backpropagation: each task trains on its own texts from the same start, and the mean
-weighted by tokens is the start of the next round. Scoring carries the state across windows, so a
-text of any length has its complete log-likelihood.
+Counts come from all training texts, and so does training: it goes through all of them once (through a
+small corpus several times), in rounds of truncated backpropagation. Texts are dealt by a hash of
+their ids to shards of about `SHARD_TOKENS` tokens; in each round each shard trains on its texts of
+that round, in the order of the hash, from the same start, and the mean weighted by tokens is the
+start of the next round. Sums of parameters are sums of integers. So the model depends on the table,
+not on how it is partitioned; what is left are roundings of matrix products. Scoring carries the
+state across windows, so a text of any length has its complete log-likelihood.
 
 Words are looked up by 64-bit hashes in a sorted vocabulary that is broadcast up to `most_words`;
 beyond that, texts' words are joined with it in the cluster.
 
 A null or empty text is its end token alone. Each row counts: copies and repeated rows count again.
-Without training texts all classes are equally likely. An empty table gives an empty result.
+A null id is one more id. Columns beside id and text are not read. Without training texts all classes
+are equally likely. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ from vespera.llm.common import blocks, map_arrow, written
 from vespera.llm.wordhash import words_of
 
 FREQUENT, CLASSES, HIDDEN, STREAMS, WINDOW = 64, 128, 32, 256, 16
+#: Shares of the texts that the rounds train on, and the steps' sizes. The first, short ones bring all shards on one way.
+ROUNDS, RATES = (1, 1, 2, 4), (0.01, 0.01, 0.006, 0.003)
+#: Tokens a shard has about, most shards (each sends its parameters), and tokens that training sees at least, in 8 passes at most.
+SHARD_TOKENS, MOST_SHARDS, LEAST_TOKENS = 4_000_000, 4096, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 END_SUFFIX = 0
 
@@ -237,45 +245,68 @@ class Trainer:
             p -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def _joined(seqs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of many blocks, and where texts begin."""
-    classes, lengths = (np.concatenate(x) for x in zip(*seqs, strict=True))
-    return classes, np.cumsum(lengths) - lengths
+def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """docs (key, text) -> key, classes: the classes of each text's tokens, one byte each."""
+    held = docs.sparkSession.sparkContext.broadcast(lex)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text"):
+            hashes, suffix, first = tokens_of(part.column("text"))
+            data = pa.py_buffer(held.value.classes(hashes, suffix))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(first.astype(np.int32)), data])], ["key", "classes"])
 
-def train(docs: DataFrame, key: Column, lex: Lexicon, rounds: tuple[int, ...] = (1, 7), gather: int = 600_000) -> Network:
-    """docs (text); key: a number by which rows are dealt to the rounds, in these shares. Only sums of parameters come to the driver."""
+    return map_arrow(docs.select("key", "text"), run, "key long, classes binary")
+
+
+def train(docs: DataFrame, lex: Lexicon, shard_tokens: int = SHARD_TOKENS, gather: int = 600_000) -> Network:
+    """docs (key, classes): coded texts, dealt by their keys. Only sums of parameters come to the driver."""
     prior = lex.tokens.copy()
     prior[: len(lex.frequent)] = lex.n / 500  # the network learns these soon
     net = Network(prior=(prior + 1) / (prior + 1).sum())
     if not lex.n:
         return Network(np.zeros(len(net.flat())))
-    held = docs.sparkSession.sparkContext.broadcast(lex)
-    low, total = 0, sum(rounds)
-    for share in rounds:
+    shards = min(MOST_SHARDS, -(-lex.n // shard_tokens))
+    passes = min(8, max(1, LEAST_TOKENS // lex.n))
+    rows = docs.select(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.pmod("key", F.lit(sum(ROUNDS))).alias("part"), "key", F.crc32("classes").alias("crc"), "classes")
+    low = 0
+    for share, rate in zip(ROUNDS, RATES, strict=True):
         start = net.flat()
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, share=share) -> Iterator[pa.RecordBatch]:
-            own = Trainer(Network(start), rate=0.01 if share == rounds[0] else 0.004)
-            seqs, n = [], 0
-            for part in blocks(batches, "text"):
-                hashes, suffix, first = tokens_of(part.column("text"))
-                seqs.append((held.value.classes(hashes, suffix), np.diff(first)))
-                n += len(hashes)
-                if n > gather:
-                    own.run(*_joined(seqs))
-                    seqs, n = [], 0
-            if n:
-                own.run(*_joined(seqs))
-            if own.tokens:
-                p = own.net.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(p * own.tokens), pa.array(np.full(len(p), own.tokens))], ["i", "p", "w"])
-
-        mine = docs.where((F.pmod(key, F.lit(total)) >= low) & (F.pmod(key, F.lit(total)) < low + share)).select("text")
-        got = map_arrow(mine, run, "i int, p double, w long").groupBy("i").agg((F.sum("p") / F.sum("w")).alias("p")).toArrow()
+        def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
+            own, shard, held, n = None, None, [], 0
+
+            def learn() -> None:
+                sizes = np.array(list(map(len, held)), np.int64)
+                classes = np.frombuffer(b"".join(held), np.uint8)
+                for _ in range(passes):
+                    own.run(classes, np.cumsum(sizes) - sizes)
+
+            def sums() -> pa.RecordBatch:
+                weight = max(1, round(own.tokens * (1 << 20) / (lex.n * passes)))
+                p = np.round(own.net.flat().astype(np.float64) * (1 << 24)).astype(np.int64) * weight
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(p), pa.array(np.full(len(p), weight))], ["i", "p", "w"])
+
+            for batch in batches:
+                for to, classes in zip(batch.column("shard").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                    if to != shard or n > gather:
+                        if n:
+                            learn()
+                        held, n = [], 0
+                        if to != shard:
+                            if own:
+                                yield sums()
+                            own, shard = Trainer(Network(start), rate), to
+                    held.append(classes)
+                    n += len(classes)
+            if own:
+                learn()
+                yield sums()
+
+        mine = rows.where((F.col("part") >= low) & (F.col("part") < low + share)).repartition(shards, "shard").sortWithinPartitions("shard", "key", "crc", "classes")
+        got = map_arrow(mine.select("shard", "classes"), run, "i int, p long, w long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("w").alias("w")).toArrow()
         if got.num_rows:
             flat = np.zeros(got.num_rows)
-            flat[got.column("i").to_numpy()] = got.column("p").to_numpy()
+            flat[got.column("i").to_numpy()] = got.column("p").to_numpy() / got.column("w").to_numpy() / (1 << 24)
             net = Network(flat)
         low += share
     return net
@@ -352,13 +383,13 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1])
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 16_000_000, gather: int = 2_500_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 4_000_000, gather: int = 2_500_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; training: which rows are learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     learn = rows.where("learn").select("text", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 30)).alias("key"))
     vocab = written(count_words(learn.select("text")), "vocabulary")
     lex = lexicon(vocab)
-    net = train(learn, F.col("key"), lex)
+    net = train(written(coded(learn, lex), "classes"), lex)
     context = docs.sparkSession.sparkContext
     model = context.broadcast((lex, net))
     kind = rows.schema["id"].dataType.simpleString()
