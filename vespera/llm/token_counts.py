@@ -6,14 +6,15 @@ that ends here, the last token before it, and how many tokens lie between. Each
 annotated with the change of the token count, so a text is counted without building its tokens.
 
 A text is cut into chunks, at its spaces. No piece has a space after another character, so a chunk
-that starts with a space forgets its entry state: its state map is constant, and over a batch such
-maps compose by a cumulative sum of their token counts. A word longer than a chunk is run from left
-to right, each part starting in the state the one before ended in. No maps by entry state are built
-for these parts, and no parallel scan composes them: a map would need a run from every state that
-may come before, of many thousands, while a text is counted by one task, which needs only one.
+that starts with a space forgets its entry state: its state map is constant, and such maps compose
+by adding their token counts. A longer word is cut further. Each of its chunks has a map from entry
+states to exit states and token counts, first for the state that the last characters before the
+chunk lead to, which nearly always is the entry state; the maps compose in a prefix scan of
+logarithmic depth, and one that is asked for another state is extended. States are bounded: between
+chunks they are known by what they hold, so compiled ones may be forgotten.
 
 Nulls and empty texts have no token. Rows are independent: ties, repeated rows and empty tables
-need no rule, and further columns are not read.
+need no rule, and further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from vespera.llm.common import blocks, forget_late, map_arrow, strings
 from vespera.llm.merges import Merges
 
 SPACE = "▁"
+START = ((0, None, 0),)
 
 
 class Transducer:
@@ -55,8 +57,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, None, 0),)
-        self.keys, self.ids, self.moves, self.last = [start], {start: 0}, [{}], [None]
+        self.keys, self.ids, self.moves, self.last = [START], {START: 0}, [{}], [None]
 
     def build(self, state: int, c: str) -> tuple[int, int]:
         if c not in self.chars:  # its bytes are the tokens, and nothing merges with them
@@ -90,12 +91,32 @@ class Transducer:
             total += move[1]
         return state, total
 
-    def first_token(self, text: str) -> str:
+    def state_of(self, key: tuple) -> int:
+        """The number of the state that holds this, also if it was forgotten."""
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+            self.last.append(key[-1][1])
+        return found
+
+    def through(self, text: str, entry: tuple) -> tuple[tuple, int]:
+        """What the exit state holds, and the tokens emitted, from a state that holds `entry`."""
+        self.tidy()
+        state, total = self.run(text, self.state_of(entry))
+        return self.keys[state], total
+
+    def first_token(self, text: str, chunk: int = 4096) -> str:
         """The first token of a text: last tokens of all prefixes, followed back from the end."""
-        state, lasts = 0, []
-        for c in text:
-            state = (self.moves[state].get(c) or self.build(state, c))[0]
-            lasts.append(self.last[state] or c)
+        key, lasts = START, []
+        for at in range(0, len(text), chunk):
+            self.tidy()
+            state = self.state_of(key)
+            for c in text[at : at + chunk]:
+                state = (self.moves[state].get(c) or self.build(state, c))[0]
+                lasts.append(self.last[state] or c)
+            key = self.keys[state]
         at, token = len(text), text
         while at > 0:
             token = lasts[at - 1]
@@ -108,6 +129,43 @@ class Transducer:
             self.reset()
 
 
+class ChunkMap(dict):
+    """entry state -> (exit state, tokens) of a chunk, for the entry states that were asked for."""
+
+    def __init__(self, transducer: Transducer, text: str):
+        super().__init__()
+        self.transducer, self.text = transducer, text
+
+    def __missing__(self, entry: tuple) -> tuple[tuple, int]:
+        out = self[entry] = self.transducer.through(self.text, entry)
+        return out
+
+
+class Composed(dict):
+    """The map of two neighbouring stretches, for the entry states that the first one has, and others when asked for."""
+
+    def __init__(self, first: dict, second: dict):
+        super().__init__()
+        self.first, self.second = first, second
+        for entry in list(first):
+            self[entry]
+
+    def __missing__(self, entry: tuple) -> tuple[tuple, int]:
+        between, n = self.first[entry]
+        exit_, more = self.second[between]
+        out = self[entry] = (exit_, n + more)
+        return out
+
+
+def prefix_scan(maps: list[dict]) -> list[dict]:
+    """The maps of all prefixes, in a logarithmic number of rounds; the compositions of a round are independent."""
+    step = 1
+    while step < len(maps):
+        maps = maps[:step] + [Composed(maps[i - step], maps[i]) for i in range(step, len(maps))]
+        step *= 2
+    return maps
+
+
 class Counter(dict):
     """word (without its space) -> tokens of space + word: the constant state maps of chunks, kept by content."""
 
@@ -132,15 +190,21 @@ class Counter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > self.most:
             forget_late(self)
-        self.transducer.tidy()
         if len(word) <= self.chunk:
+            self.transducer.tidy()
             n = self[word] = self.transducer.run(SPACE + word)[1]
             return n
-        state, n = self.transducer.run(SPACE)  # a long word: its parts one after another, the state handed on
-        for at in range(0, len(word), self.chunk):
-            state, more = self.transducer.run(word[at : at + self.chunk], state)
-            n += more
-        return n
+        return self.long_word(SPACE + word)
+
+    def long_word(self, text: str, before: int = 64) -> int:
+        """By the maps of its chunks; equal chunks share one."""
+        parts = [text[at : at + self.chunk] for at in range(0, len(text), self.chunk)]
+        kept = {p: ChunkMap(self.transducer, p) for p in parts}
+        maps = [kept[p] for p in parts]
+        maps[0][START]
+        for last, own in zip(parts, maps[1:], strict=False):
+            own[self.transducer.through(last[-before:], START)[0]]
+        return prefix_scan(maps)[-1][START][1]
 
     def spaces(self, n: int) -> int:
         """Tokens of n spaces alone; merges of spaces come leftmost first."""
@@ -172,10 +236,7 @@ class Counter(dict):
         return list(map(self.after_spaces, self.runs.findall(" " + text)))
 
     def count_batch(self, texts: list[str]) -> np.ndarray:
-        each = [self.chunks(t) for t in texts]
-        ends = np.cumsum([len(e) for e in each])
-        scan = np.concatenate([[0], np.cumsum(np.fromiter((n for e in each for n in e), np.int64, int(ends[-1]) if len(ends) else 0))])
-        return np.diff(scan[ends], prepend=0)
+        return np.fromiter((sum(self.chunks(t)) for t in texts), np.int64, len(texts))
 
 
 @lru_cache(1)
