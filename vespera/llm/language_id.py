@@ -7,9 +7,11 @@ numpy: only the features that occur are looked up, and sums run over each text's
 The classifier is fitted on a sample of about `train_docs` labelled texts with a letter, drawn by a hash
 of the id (a documented bound). Every label has an equal part of it; what labels with fewer rows leave
 goes to the others, and the row with the smallest hash of each label is always drawn, so no label is
-without features. Every text is scored whole. A text that is null or has no letter is `und`
-with score 0. Ties go to the label that sorts first. Rows are independent, so repeated rows need
-no rule; without labelled rows all texts are `und`.
+without features. Every text is scored whole. A text that is null or has no letter (a character of
+Unicode category L; digits in circles or letters' numerals are none) is `und` with score 0. Ties go
+to the label that sorts first. Rows are independent, so repeated rows need no rule; without labelled
+rows, as in an empty table, all texts are `und`. Further columns stay; one with the name of a result
+column is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,18 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vespera.llm.common import blocks, map_arrow, strings
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Texts that may have features; letters newer than the JVM's count too.
-LEARNABLE = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
+ALPHANUMERIC = re.compile(r"[^\W\d_]+")
+#: Texts that may have a letter; letters newer than the JVM's count too.
+LEARNABLE = r"[\p{L}\p{Cn}]"
 ORDERS = (2, 3)
 
 
+def has_letter(text: str) -> bool:
+    """isalpha() is Unicode category L; the pattern finds a few numerals beside."""
+    return any(c.isalpha() for m in ALPHANUMERIC.finditer(text) for c in m[0])
+
+
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed 2- and 3-grams of lower-cased texts, runs of other characters as one space; and where each text's begin."""
-    plain = [" " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " " for t in texts]
+    plain = [" " + " ".join(ALPHANUMERIC.findall(t.lower())) + " " for t in texts]
     codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum([len(p) for p in plain])
     mixed = codes * np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +69,7 @@ class Model:
         self.prior = np.log(docs / docs.sum())
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        und = np.array([not LETTER.search(t) for t in texts], bool)
+        und = np.array([not has_letter(t) for t in texts], bool)
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts))
         grams, starts = features(texts, self.bits)
@@ -116,19 +124,19 @@ def fit(docs: DataFrame, training: Column, bits: int = 16, train_docs: int = 20_
     return Model(labels, counts, np.array([per_label[x] for x in labels], float), bits)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs and the columns `_lang`, `_score`; no shuffle."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "_lang", score_name: str = "_score") -> DataFrame:
+    """The rows of docs and the columns lang_name, score_name; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*({lang_name, score_name} - {text_col}))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for part in blocks(batches, text_col):
             lang, score = own.predict(strings(part.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names, lang_name, score_name])
 
-    out = map_arrow(docs, run, _with(schema, "_lang string, _score double"))
-    return out
+    return map_arrow(docs, run, T.StructType([*schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
 
 
 def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,12 +144,7 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text_col):
-            yield part.filter(pa.array([bool(LETTER.search(t)) for t in strings(part.column(text_col))], pa.bool_()))
+            yield part.filter(pa.array([has_letter(t) for t in strings(part.column(text_col))], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 
-
-def _with(schema, more: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
