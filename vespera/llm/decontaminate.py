@@ -11,7 +11,8 @@ and a benchmark item different words.
 
 A null or empty text has no words; so has an empty benchmark item, which never occurs. Rows are
 independent: a repeated row appears twice in the result. Repeated items each count. An empty
-benchmark hits nothing.
+benchmark hits nothing, and an empty table gives an empty result. Further columns may have any names
+and stay as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import lower_ascii
+from vespera.llm.common import lower_ascii, packed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIXED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,20 +107,20 @@ def _joined_hits(rows: DataFrame, bench: Benchmark) -> DataFrame:
     return hits.groupBy("row").agg(F.collect_list(F.struct("start", "size", "gram")).alias("hits"))
 
 
-def with_hits(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
-    """The rows of docs and the column `_hits`."""
+def with_hits(rows: DataFrame, bench: Benchmark) -> DataFrame:
+    """rows (text and others) and the column `hits`."""
     if bench.small:
-        return docs.withColumn("_hits", bench.hits(F.col(text_col)))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = _joined_hits(rows.select(F.col("_row").alias("row"), words(F.col(text_col)).alias("w")), bench).select(F.col("row").alias("_row"), F.col("hits").alias("_hits"))
-    none = F.array().cast(found.schema["_hits"].dataType)
-    return rows.join(found, "_row", "left").withColumn("_hits", F.coalesce("_hits", none)).drop("_row")
+        return rows.withColumn("hits", bench.hits(F.col("text")))
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    found = _joined_hits(numbered.select(F.col("number").alias("row"), words(F.col("text")).alias("w")), bench).withColumnRenamed("row", "number")
+    none = F.array().cast(found.schema["hits"].dataType)
+    return numbered.join(found, "number", "left").withColumn("hits", F.coalesce("hits", none)).drop("number")
 
 
 def report(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated of every text."""
     rows = with_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bench)
-    counted = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(words(F.col("text"))).cast("long").alias("n_words"), _covered(F.col("_hits")).alias("n_hit"), F.array_distinct(F.transform("_hits", lambda x: x["gram"])).alias("grams"))
+    counted = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(words(F.col("text"))).cast("long").alias("n_words"), _covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x["gram"])).alias("grams"))
     items = bench.grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
     named = counted.withColumn("gram", F.explode_outer("grams")).drop("grams").join(items, "gram", "left")
     each = named.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -128,19 +129,19 @@ def report(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col:
 
 def remove_documents(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
     """The documents without a hit, their columns unchanged."""
-    return with_hits(docs, bench, text_col).where(F.size("_hits") == 0).drop("_hits")
+    return with_hits(packed(docs, text=F.col(text_col)), bench).where(F.size("hits") == 0).select("row.*")
 
 
 def remove_spans(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> DataFrame:
     """The documents without the words inside hits and the separators between two such words."""
-    text = F.col(text_col)
-    pieces = F.regexp_extract_all(text, F.lit(f"({MIXED_SEPARATORS}|{MIXED_SEPARATORS.replace('[', '[^', 1)})"), 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"({MIXED_SEPARATORS}|{MIXED_SEPARATORS.replace('[', '[^', 1)})"), 1)
     blank = lambda p: p.rlike(f"^{MIXED_SEPARATORS}$")
-    inside = lambda i: F.exists("_hits", lambda x: (i >= x["start"]) & (i < x["start"] + x["size"]))
+    inside = lambda i: F.exists("hits", lambda x: (i >= x["start"]) & (i < x["start"] + x["size"]))
 
     def kept(p: Column) -> Column:
         first = F.when(blank(F.element_at(p, 1)), 1).otherwise(0)  # pieces alternate: word w is piece 2 w - 1 + first
         here = lambda i: F.when((i + 1 - first) % 2 == 1, inside(((i + 2 - first) / 2).cast("int"))).otherwise(inside(((i + 1 - first) / 2).cast("int")) & inside(((i + 3 - first) / 2).cast("int")))
         return F.array_join(F.filter(F.transform(p, lambda x, i: F.struct(x.alias("p"), here(i).alias("gone"))), lambda x: ~x["gone"]).getField("p"), "")
 
-    return with_hits(docs, bench, text_col).withColumn(text_col, F.when(F.size("_hits") == 0, text).otherwise(_let(pieces, kept))).drop("_hits")
+    text = F.when(F.size("hits") == 0, F.col("text")).otherwise(_let(pieces, kept))
+    return with_hits(packed(docs, text=F.col(text_col)), bench).select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
