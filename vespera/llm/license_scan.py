@@ -2,12 +2,20 @@
 
 A text is made canonical (case, copyright lines, punctuation, equivalent spellings) and digested;
 the digest is looked up among those of known licence texts by a hash join. The known table has a
-few rows of fixed number (KNOWN: no full texts of Apache-2.0, the GPL family or MPL), made canonical by
-the same expressions, and is broadcast. Further texts and title variants are read from a table by
+few rows of fixed number (`known_texts()`: no full texts of Apache-2.0, the GPL family or MPL), made
+canonical by the same expressions, and is broadcast. Further texts are read from a table by
 `table_digests`; a table handed in is broadcast by Catalyst only below its own threshold.
 
+`scan_lines` looks up whole texts and, in the same way, each whole line: documents that aren't a
+licence often name one in a line.
+
+A copyright line begins with a notice's sign and a year, or two signs ("Copyright (c)"), or says only
+that all rights are reserved; a line of a licence's body that begins with "copyright" stays, as does
+a notice that is a bare name.
+
 A null text, or one without a letter or digit, has a null digest and no licence. Rows are
-independent: repeated rows appear again; of known texts with one digest the smallest name counts.
+independent: repeated rows appear again; of known texts with one digest the smallest name counts. An
+empty table gives an empty result. Only id and text are read, whatever further columns are named.
 """
 
 from __future__ import annotations
@@ -41,19 +49,46 @@ APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN = {
     "MIT": MIT,
-    "MIT-titled": "MIT License\n\n" + MIT,
     "ISC": ISC,
     "0BSD": ZERO_BSD,
     "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
     "BSD-3-Clause": BSD_HEAD + BSD_NAME + BSD_TAIL,
+    "Zlib": ZLIB,
+    "Unlicense": UNLICENSE,
+    "Unlicense-linked": UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>",
     "Apache-2.0-notice": APACHE_NOTICE,
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-line": "Released under the MIT License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
 #: Spellings that licence texts use for one another, as whole words.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized",
@@ -62,25 +97,35 @@ SPELLINGS = {
     "owner": "holder", "owners": "holders", "practise": "practice", "programme": "program", "recognised": "recognized", "sublicence": "sublicense",
     "unauthorised": "unauthorized", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "noncommercial": "non commercial", "per cent": "percent",
 }
-COPYRIGHT_LINES = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-OTHER = r"[^\p{L}\p{N}]+"
+SIGN = r"(?:\([cC]\)|©|[cC][oO][pP][yY][rR][iI][gG][hH][tT]:?)"
+COPYRIGHT_LINES = rf"(?m)^[ \t]*(?:{SIGN}[ \t,]*(?:{SIGN}|[\[<(]?(?:[0-9]{{4}}|yyyy|YYYY|year))[^\n]*|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD][ \t.]*)\r?$"
+OTHER = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINES, ""), OTHER, " ")
-    out = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line, words between two spaces each. Spaces are doubled while words are replaced, so that neighbours don't share one."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINES, "")), OTHER, "  ")
+    out = F.concat(F.lit("  "), F.replace(plain, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for a, b in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.transform(F.split(out, "\n"), lambda line: F.trim(F.regexp_replace(line, " +", " ")))
+
+
+def canonical(text: Column) -> Column:
+    return F.array_join(F.array_remove(canonical_lines(text), ""), " ")
 
 
 def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.sha2(F.nullif(c, F.lit("")), 256)
+    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+
 
+def known_texts() -> dict[str, str]:
+    """KNOWN, and its texts below their titles."""
+    return KNOWN | {f"{name} titled {i}": f"{title}\n\n{KNOWN[name]}" for name, titles in TITLES.items() for i, title in enumerate(titles, 1)}
 
-def known_digests(spark, known: dict[str, str] = KNOWN) -> DataFrame:
-    return table_digests(spark.createDataFrame(sorted(known.items()), "license string, known string"), text_col="known")
+
+def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
+    return table_digests(spark.createDataFrame([(k.split(" titled ")[0], v) for k, v in sorted((known or known_texts()).items())], "license string, known string"), text_col="known")
 
 
 def table_digests(texts: DataFrame, license_col: str = "license", text_col: str = "text") -> DataFrame:
@@ -95,16 +140,37 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("digest")).join(table, "digest", "left").select(id_col, "digest", "license")
 
 
-def scan_sql(known: dict[str, str] = KNOWN) -> str:
-    """The same in SQL for DuckDB, over the table documents."""
+def scan_lines(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, digest, license of every whole text, and line_licenses: the licences whose known text is a whole line of it, sorted.
+
+    Lines are compared with the digests of a fixed number of known texts, which are in the plan.
+    """
+    table = known_digests(docs.sparkSession, known)
+    by_digest = {r["digest"]: r["license"] for r in table.collect()}
+    lines = canonical_lines(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), lines.alias("lines"))
+    whole = F.sha2(F.nullif(F.array_join(F.array_remove("lines", ""), " "), F.lit("")), 256)
+    names = F.create_map(*(F.lit(x) for pair in by_digest.items() for x in pair)) if by_digest else F.lit(None).cast("map<string,string>")
+    each = F.transform("lines", lambda line: F.when(line != "", F.sha2(line, 256)))
+    found = F.transform(F.filter(each, lambda d: d.isin(list(by_digest))), lambda d: names[d])
+    judged = rows.select("id", whole.alias("digest"), F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>")).alias("line_licenses"))
+    return judged.join(F.broadcast(table), "digest", "left").select(F.col("id").alias(id_col), "digest", "license", "line_licenses")
 
-    def digest_sql(col: str) -> str:
-        out = f"' ' || trim(regexp_replace(regexp_replace(lower({col}), '{COPYRIGHT_LINES}', '', 'g'), '{OTHER}', ' ', 'g')) || ' '"
-        for a, b in SPELLINGS.items():
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"sha256(nullif(trim({out}), ''))"
 
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(known.items()))
-    return f"""WITH known AS (SELECT {digest_sql("body")} AS digest, min(name) AS license FROM (VALUES {rows}) t(name, body) GROUP BY 1),
-digests AS (SELECT doc_id, {digest_sql("text")} AS digest FROM documents)
-SELECT d.doc_id, d.digest, k.license FROM digests d LEFT JOIN known k USING (digest)"""
+def scan_sql(known: dict[str, str] | None = None) -> str:
+    """scan_lines in SQL for DuckDB, over the table documents; line_licenses comma-joined."""
+
+    def lines_sql(col: str) -> str:
+        out = f"'  ' || replace(regexp_replace(lower(regexp_replace({col}, '{COPYRIGHT_LINES}', '', 'g')), '{OTHER}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
+        for a, b in SPELLINGS.items():
+            out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"list_transform(string_split({out}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g')))"
+
+    whole = "sha256(nullif(array_to_string(list_filter(lines, lambda x: x <> ''), ' '), ''))"
+    rows = ", ".join("('{}', '{}')".format(k.split(" titled ")[0], v.replace("'", "''")) for k, v in sorted((known or known_texts()).items()))
+    return f"""WITH known AS (SELECT {whole} AS digest, min(name) AS license FROM (SELECT name, {lines_sql("body")} AS lines FROM (VALUES {rows}) t(name, body)) GROUP BY 1),
+cut AS (SELECT doc_id, {lines_sql("text")} AS lines FROM documents),
+named AS (SELECT doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
+  FROM (SELECT doc_id, unnest(lines) AS line FROM cut) l JOIN known k ON l.line <> '' AND k.digest = sha256(l.line) GROUP BY doc_id)
+SELECT c.doc_id, {whole} AS digest, k.license, coalesce(n.line_licenses, '') AS line_licenses
+FROM cut c LEFT JOIN known k ON k.digest = {whole} LEFT JOIN named n USING (doc_id)"""
