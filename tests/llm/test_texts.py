@@ -1,8 +1,10 @@
 """Operators on single texts: exact libraries, round trips, brute force."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 import public_tokenizers
@@ -67,6 +69,36 @@ def test_state_maps_compose():
         assert (end, n + more) == own.run(text)
 
 
+def test_chunk_maps_compose_in_a_scan():
+    own = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"), chunk=7).transducer
+    rng = random.Random(3)
+    text = "▁" + "".join(rng.choice("abcdetionéñ") for _ in range(200))
+    for size in (1, 7, 50, 500):
+        parts = [text[a : a + size] for a in range(0, len(text), size)]
+        maps = [token_counts.ChunkMap(own, p) for p in parts]
+        for m in maps[1:]:
+            m[own.through("e", token_counts.START)[0]]  # often not the entry state: the map is extended
+        ends = token_counts.prefix_scan(maps)
+        for i, m in enumerate(ends):
+            state, n = own.run("".join(parts[: i + 1]))
+            assert m[token_counts.START] == (own.keys[state], n)
+    assert own.through("ab", own.keys[own.run("▁t")[0]])[1] + own.run("▁t")[1] == own.run("▁tab")[1]
+
+
+def test_states_are_bounded_within_one_word():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = token_counts.Counter(path, chunk=64)
+    own.transducer.most = 300
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdetionéñ") for _ in range(20_000))
+    for t in (text, "  " + text, "x   " + text):
+        assert own.count_batch([t]).tolist() == [len(library.encode(t))]
+        assert len(own.transducer.keys) < 300 + 4097
+
+
 def test_byte_bpe_is_the_library_s(spark):
     import tiktoken
 
@@ -94,12 +126,12 @@ def test_language_id(spark):
     words = {"en": "the of and thing other", "de": "der und nicht schön über", "fr": "le des être où ça"}
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(30)), lang) for i, lang in enumerate(["en", "de", "fr"] * 30)]
-    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 34 !!", "de"), (902, "the other thing", None), (903, "", "fr"), (904, "DER SCHÖNE und " * 4000, None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 34 !!", "de"), (902, "the other thing", None), (903, "", "fr"), (904, "DER SCHÖNE und " * 4000, None), (905, "½ ² ① Ⅷ", "en")], "doc_id long, text string, lang string")
     learn = F.col("doc_id") % 4 != 2
     model = language_id.fit(docs, learn, bits=12)
     got = {r["doc_id"]: (r["_lang"], r["_score"]) for r in language_id.identify(docs, model).collect()}
     assert all(got[i][0] == lang for i, _, lang in rows)
-    assert got[900] == got[901] == got[903] == ("und", 0.0) and got[902][0] == "en" and got[904][0] == "de"
+    assert got[900] == got[901] == got[903] == got[905] == ("und", 0.0) and got[902][0] == "en" and got[904][0] == "de"
     assert all(0 <= s <= 1 for _, s in got.values())
     empty = language_id.fit(docs.where("false"), F.lit(True), bits=12)
     assert {r["_lang"] for r in language_id.identify(docs, empty).collect()} == {"und"}
@@ -119,6 +151,55 @@ def test_language_id_samples_every_label(spark):
     assert whole.log.shape == model.log.shape and whole.prior.tolist() == model.prior.tolist()
 
 
+def test_language_id_by_brute_force(spark):
+    """Bayes by plain sums over the same grams, counted one by one."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("aeiß" + lang) for _ in range(4)) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(["en", "de", "xy"] * 20)]
+    docs = spark.createDataFrame([*rows, (500, "-", None)], "doc_id long, text string, lang string").withColumns({"_lang": F.lit("mine"), "_score": F.lit("mine"), "id": F.lit(1)})
+    model = language_id.fit(docs, F.col("doc_id") < 40, bits=10)
+    got = language_id.identify(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "id", "_lang", "_score"]
+
+    def grams(text):
+        found, starts = language_id.features([text], 10)
+        return [int(g) for row in found for g in row if g < 2 << 10]
+
+    counts = {}
+    for i, t, lang in rows:
+        if i < 40:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    prior = Counter(lang for i, _, lang in rows if i < 40)
+    for r in got.where("doc_id < 500").collect():
+        logs = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + 0.5 * (2 << 10)
+            logs[lang] = math.log(prior[lang] / 40) + sum(math.log((own[g] + 0.5) / total) for g in grams(r["text"]))
+        best = max(sorted(logs), key=logs.get)
+        assert r["_lang"] == best and math.isclose(r["_score"], 1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel_tol=1e-3)
+    assert language_id.identify(docs.where("false"), model).count() == 0
+
+
+def test_empty_tables_of_single_texts(spark):
+    none = frame(spark, ["a"]).where("false")
+    piece, byte = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert token_counts.token_counts(none, piece).count() == media.store_payloads(none).count() == byte_bpe.round_trip(none, byte, public_tokenizers.PATTERN).count() == 0
+
+
+def test_clashing_names_of_single_texts(spark):
+    names = ["_hits", "_row", "hits", "row", "number", "w", "id", "n_tokens", "h", "keys", "best", "host"]
+    docs = spark.createDataFrame([(0, "a b c"), (1, "x"), (2, None)], "doc_id long, text string").select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names))
+    items = spark.createDataFrame([("i", "B c")], "item_id string, text string")
+    for most in ({}, {"most_windows": 0}):
+        bench = decontaminate.Benchmark(items, **most)
+        kept, cut = decontaminate.remove_documents(docs, bench), decontaminate.remove_spans(docs, bench)
+        assert kept.columns == cut.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [(i, t, *(f"{c}{i}" for c in names)) for i, t in ((1, "x"), (2, None))]
+        assert sorted(map(tuple, cut.collect())) == [(i, t, *(f"{c}{i}" for c in names)) for i, t in ((0, "a "), (1, "x"), (2, None))]
+        assert decontaminate.report(docs, bench).count() == 3
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://com/en/x").alias("url"), *names)
+    assert [r["verdict"] for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()] == ["block"] * 3
+
+
 def test_language_id_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
@@ -222,6 +303,47 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, rows).where("false")).count() == 0
 
 
+def wrapped(text, width):
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*lines, line])
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    """Lines of the body that begin with "copyright" are no notices, wherever lines are broken."""
+    plain = {"MIT": license_scan.MIT, "ISC": license_scan.ISC, "0BSD": license_scan.ZERO_BSD, "Unlicense": license_scan.UNLICENSE, "BSD-2-Clause": license_scan.BSD_HEAD + license_scan.BSD_TAIL, "BSD-3-Clause": license_scan.BSD_HEAD + license_scan.BSD_NAME + license_scan.BSD_TAIL}
+    rows = [(name, wrapped(t, width)) for name, t in plain.items() for width in range(30, 110, 5)]
+    notices = ["Copyright (c) 2020 Some One", "  Copyright 2001-2004, Some One", "© 1999 X", "(C) 2000 Y", "COPYRIGHT © Z\nAll rights reserved.", "Copyright [yyyy] [name of copyright owner]", "copyright: 2003 Q\r"]
+    rows += [("MIT", f"{n}\n\n{wrapped(license_scan.MIT, 72)}") for n in notices] + [("BSD-3-Clause", f"BSD 3-Clause License\n\n{notices[0]}\n{plain['BSD-3-Clause']}"), (None, "Copyright holders say:\n" + license_scan.MIT)]
+    got = by_id(license_scan.scan(frame(spark, [t for _, t in rows])))
+    assert [got[i]["license"] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_spellings_of_neighbours(spark):
+    texts = ["licence licence licence", "License license LICENSE", "per cent per cent", "percent, percent", "sublicence\nlicence", "sublicense license", "licences", "licenses"]
+    got = by_id(license_scan.scan(frame(spark, texts)))
+    assert [got[i]["digest"] == got[i + 1]["digest"] for i in range(0, 8, 2)] == [True, True, True, False]
+
+
+def test_license_lines(spark):
+    import duckdb
+
+    texts = ["One.\nReleased under the MIT licence\nTwo\n  licensed under CC  BY-NC 4.0!", "We say: Released under the MIT License.", "Released under the MIT License.", license_scan.ISC + "\nReleased under the MIT License."]
+    got = by_id(license_scan.scan_lines(frame(spark, texts)))
+    assert [(got[i]["license"], got[i]["line_licenses"]) for i in range(5)] == [(None, ["CC-BY-NC-4.0-line", "MIT-line"]), (None, []), ("MIT-line", ["MIT-line"]), (None, ["MIT-line"]), (None, [])]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    out = con.sql(queries.oracle_sql()["op6_license_scan"])
+    rows = queries.op6_license_scan(spark, SF).collect()
+    assert sorted(map(repr, (tuple(r[c] for c in out.columns) for r in rows))) == sorted(map(repr, out.fetchall()))
+    assert any(r["line_licenses"] for r in rows)
+    assert license_scan.scan_lines(frame(spark, texts).where("false")).count() == 0
+
+
 def test_license_scan_with_a_table(spark):
     full = "Mozilla Public License Version 2.0\n\n1. Definitions" + " more of it" * 4000
     table = spark.createDataFrame([("MPL-2.0", full), ("MIT", "The MIT License (MIT)\n\n" + license_scan.MIT), ("none", "!!!"), ("no text", None)], "license string, text string")

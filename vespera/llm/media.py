@@ -7,7 +7,8 @@ a null tensor; a damaged file, or one of another kind, gives a null tensor and i
 quantised coefficients of an image: 3 components of 64 coefficients a block, each a byte less 128.
 Scans are coded without loss, so the bytes come back exactly. It reads every file back through the
 decoder and describes the decoded RGB tensor. A null text is stored as an empty one. Rows are
-independent and equal texts give equal files; empty tables need no rule.
+independent and equal texts give equal files; empty tables need no rule. Only id and text (or file)
+are read, whatever further columns are named.
 """
 
 from __future__ import annotations

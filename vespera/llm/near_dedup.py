@@ -14,6 +14,9 @@ with it and among each other in blocks of bounded size, except within a componen
 lost, no group comes into one task whole, and equal or alike groups of any size cost one
 comparison a member. Links hold on full sets: 100 * intersection >= 75 * union.
 
+Ids are numbers and are compared as 64-bit integers; a string id that isn't one is an error under ANSI
+SQL, else a null id. Further columns may have any names and stay as they are.
+
 A null or empty text has an empty set and is linked with nothing. A null id is linked with nothing
 either: its component is null and it is kept. Each row stays in the result. Rows with the same id and
 different texts are judged each by its own text; where the id is the smallest holder of several texts,

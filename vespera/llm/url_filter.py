@@ -11,7 +11,8 @@ neither scoring nor its plan has a join.
 
 A null URL, or one without "://", has an empty host and path and fits no rule. Rows are
 independent: repeated rows, ties and empty tables need no rule; of rules that fit, the longest
-wins, and of an allow and a block rule with the same key, the block rule.
+wins, and of an allow and a block rule with the same key, the block rule. Only id and url are read,
+whatever further columns are named.
 """
 
 from __future__ import annotations
