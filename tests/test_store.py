@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 
 from vespera.plans import overlay
 from vespera.plans.engine import Dataset, Engine
 from vespera.plans.store import Store
 from vespera.sources import generate, vecfile
+from vespera.sources.files import Files
 from vespera.streaming.ingest import ingest
 from vespera.types import EngineError, Element
 
@@ -144,7 +146,9 @@ def test_damaged_log(engine):
     d = engine.create("a")
     d.upsert(1, "1, 2, 3, 4")
     path = f"{d.store.dir}/pending/{0:020d}.json"
-    d.store.files.write(path, d.store.files.read(path).replace("3.0", "4.0"), replace=True)
+    text = d.store.files.read(path).replace("3.0", "4.0")
+    d.store.files.remove(path)
+    assert d.store.files.write(path, text)
     with pytest.raises(EngineError, match="damaged"):
         Dataset(engine.spark, engine.root, "a")
 
@@ -313,3 +317,88 @@ def test_lifecycle_keeps_results(engine, spark):
     assert before == [engine.knn([float(q)] * 4, 5) for q in (10, 505, 1050)]
     assert len(live(engine)) == 1000 + 120 - 30
     assert engine.ids_of([10.5] * 4).collect()[0]["id"] == 10
+
+
+def test_binary_files_are_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=6).astype(np.float32).tolist() for i in range(1000)}
+    for n, part in enumerate((range(0, 1), range(1, 700), range(700, 1000))):
+        (tmp_path / f"{n}.bin").write_bytes(b"f32,6,bin\n" + vecfile.pack_records(list(part), [vectors[i] for i in part], Element.f32))
+    (tmp_path / "empty.bin").write_bytes(b"f32,6,bin\n")
+    for size in (1, 999, 64 << 20):
+        header, rows = vecfile.read_binary(spark, f"file://{tmp_path}", range_bytes=size)
+        assert header.dim == 6 and {r["id"]: list(r["vec"]) for r in rows.collect()} == vectors
+    (tmp_path / "short.bin").write_bytes(b"f32,6,bin\nabc")
+    with pytest.raises(Exception, match="truncated binary record"):
+        vecfile.read_binary(spark, f"file://{tmp_path}")[1].collect()
+
+
+def test_binary_files_over_two_gigabytes(spark, tmp_path):
+    dim = 4096
+    size = 8 + 4 * dim
+    n = (2_300_000_000 // size) + 1
+    with open(tmp_path / "large.bin", "wb") as f:  # sparse: all but the last record are zeros with id 0
+        f.write(b"f32,4096,bin\n")
+        f.seek(13 + (n - 1) * size)
+        f.write(vecfile.pack_records([77], [[1.0] * dim], Element.f32))
+    header, rows = vecfile.read_vectors(spark, f"file://{tmp_path}/large.bin")
+    assert header.dim == dim and rows.where("id > 0").select("id").collect() == [(77,)] and rows.select("id").count() == n
+
+
+def test_headers_of_large_text_files(spark, tmp_path):
+    with open(tmp_path / "large.txt", "wb") as f:
+        f.write(b"i16,4\n5 : [ 1, 2, 3, 4 ]\n")
+        f.truncate(3_000_000_000)
+    assert vecfile.read_header(spark, f"file://{tmp_path}/large.txt").dim == 4
+
+
+def test_one_of_several_writers_publishes(spark, tmp_path):
+    files = Files(spark, f"file://{tmp_path}")
+    path = f"file://{tmp_path}/1.json"
+    assert files.write(path, "one") and not files.write(path, "two") and files.read(path) == "one"
+    assert sorted(n for n in files.names(f"file://{tmp_path}") if not n.startswith(".")) == ["1.json"]
+    assert files.create(f"file://{tmp_path}/own") and not files.create(f"file://{tmp_path}/own")
+
+
+def test_lock_is_freed_with_its_process(spark, engine, tmp_path):
+    import subprocess
+    import sys
+
+    engine.create("a")
+    path = engine.dataset.lock.local
+    code = f"import fcntl, os, sys; f = os.open({path!r}, os.O_RDWR | os.O_CREAT); fcntl.flock(f, fcntl.LOCK_EX); print('held', flush=True); sys.stdin.read()"
+    other = subprocess.Popen([sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+    assert other.stdout.readline() == b"held\n"
+    with pytest.raises(EngineError, match="another writer"):
+        engine.upsert(1, [1.0] * 4)
+    other.kill()
+    other.wait()
+    engine.upsert(1, [1.0] * 4)
+
+
+def test_sql_follows_the_dataset(engine):
+    engine.create("a", dist_func="cos")
+    load(engine, engine.spark, [1, 2, 3])
+    count = lambda: engine.sql("SELECT count(*) FROM a").first()[0]
+    assert count() == 3
+    engine.ups2(9, 9.0)
+    assert count() == 3
+    engine.merge_accumulator()
+    assert count() == 4
+    near = "SELECT id FROM knn_a_bits(array(1f, 1f, 1f, 1f), {}, 5)"
+    assert [r["id"] for r in engine.sql(near.format("X'0602'")).collect()] == [1, 2, 9] and engine.sql(near.format("X''")).count() == 0 and engine.sql(near.format("null")).count() == 4
+
+
+def test_ranges_lie_in_several_dirs(spark, tmp_path):
+    dirs = [f"file://{tmp_path}/d{i}" for i in range(3)]
+    with Engine(spark, f"file://{tmp_path}/root") as e:
+        d = e.create("a", range_size=11, dirs=dirs)
+        load(e, spark, range(100))
+        assert [len(list((tmp_path / f"d{i}/a/data").glob("version=*/kind=base/file_id=*"))) for i in range(3)] == [4, 3, 3]
+        e.ups2(50, 0.5)
+        d.flush()
+        e.merge_delta()
+        d.store.vacuum()
+        assert d.get(50) == [0.5] * 4 and d.get(99) is not None and d.rows().count() == 100
+        e.drop("a")
+        assert not any((tmp_path / f"d{i}/a/data").exists() for i in range(3))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +35,20 @@ def bitset_agg(df: DataFrame, id_col: str = "id", by: list[str] | None = None, n
 
 def bit_at(bitset: Column, id_: Column) -> Column:
     """Whether an id is in a bitset; ids beyond its end aren't."""
-    byte = F.conv(F.hex(F.substring(bitset, F.expr("1").cast("int") + F.floor(id_ / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.ascii(F.decode(F.substring(bitset, (F.floor(id_ / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
     inside = (id_ >= 0) & (F.floor(id_ / 8) < F.octet_length(bitset))
     return F.when(inside, F.call_function("getbit", byte, (id_ % 8).cast("int")) == 1).otherwise(False)
 
 
+#: The same in SQL, of the columns or parameters bits and v.id.
+BIT_SQL = "CASE WHEN v.id >= 0 AND v.id div 8 < octet_length(bits) THEN getbit(ascii(decode(substring(bits, cast(v.id div 8 + 1 as int), 1), 'ISO-8859-1')), cast(v.id % 8 as int)) = 1 ELSE false END"
+
+
+def ids_of(bitset: bytes) -> np.ndarray:
+    """The ids of a bitset, on the driver."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bitset, np.uint8), bitorder="little"))
+
+
 def bitset_ids(df: DataFrame, bitset_col: str, name: str = "id") -> DataFrame:
     """A row for each id in each bitset, with the row's other columns."""
     digits = F.hex(bitset_col)
@@ -65,12 +75,22 @@ def make_bitset(ids: Iterable[int]) -> bytes:
     return bytes(out)
 
 
-def register_sql(spark: SparkSession) -> None:
+def register_sql(spark: SparkSession, max_bytes: int = 64 << 20) -> None:
     """bitset_agg(id) for SQL. A group is gathered in one task; bitset_agg() above pre-aggregates and is for large groups."""
     from pyspark.sql.functions import PandasUDFType, pandas_udf
 
     def gathered(ids):
-        return make_bitset(int(i) for i in ids.dropna().unique())
+        own = ids.dropna().to_numpy()
+        if not len(own):
+            return b""
+        own = own.astype(np.int64)
+        if own.min() < 0:
+            raise EngineError("bitset: id must be non-negative")
+        if own.max() >= 8 * max_bytes:
+            raise EngineError("bitset: id is too large")
+        out = np.zeros(int(own.max()) // 8 + 1, np.uint8)
+        np.bitwise_or.at(out, own >> 3, (1 << (own & 7)).astype(np.uint8))
+        return out.tobytes()
 
     bitset = pandas_udf(gathered, "binary", PandasUDFType.GROUPED_AGG)
     spark.udf.register("bitset_agg", bitset)

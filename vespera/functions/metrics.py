@@ -130,15 +130,18 @@ def numpy_distances(rows: np.ndarray, q: np.ndarray, metric: Metric, element: El
         if element is Element.f32:
             return np.abs(rows.astype(np.float32) - q.astype(np.float32)).astype(np.float64).sum(axis=1)
         return np.abs(rows.astype(np.float64) - q).sum(axis=1)
-    wide = rows.astype(np.float64)
+    return pair_distances(rows.astype(np.float64), q[None, :], metric)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, metric: Metric) -> np.ndarray:
+    """l2 or cosine distance of each row of a to that of b; a row's value doesn't depend on the others."""
     if metric is Metric.l2:
-        return ((wide - q) ** 2).sum(axis=1)
-    na, nb = (wide * wide).sum(axis=1), float((q * q).sum())
-    if nb == 0:
-        return np.where(na == 0, 0.0, 1.0)
+        d = a - b
+        return (d * d).sum(axis=1)
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        inside = np.clip((wide @ q) / np.sqrt(na * nb), -1, 1)
-    return np.where(na == 0, 1.0, 1 - inside)
+        inside = np.clip((a * b).sum(axis=1) / np.sqrt(na * nb), -1, 1)
+    return np.where((na == 0) & (nb == 0), 0.0, np.where((na == 0) | (nb == 0), 1.0, 1 - inside))
 
 
 def _in_numpy(vec: Column, q: list, metric: Metric, element: Element) -> Column:

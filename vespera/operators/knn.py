@@ -2,7 +2,8 @@
 
 Rows rank by (distance, id). For one query the plan is a projection of the distance over the scan
 and a TakeOrderedAndProject: each task keeps its k best and the driver merges them, without a
-shuffle. Many queries are scored in blocks of rows in numpy, each task keeps its k best of each
+shuffle. Many queries are scored in blocks of rows in numpy: a matrix product bounds the distances
+from below, the few rows within the bound are scored exactly, each task keeps its k best of each
 query, and only those are shuffled.
 """
 
@@ -17,9 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vespera.functions import metrics
-from vespera.functions.bitset import bit_at
+from vespera.functions.bitset import bit_at, ids_of
 from vespera.types import DEFAULT_K, EngineError, Element, Metric
 
+#: Ids of a list and bytes of a bitset that may go into the plan; larger ones are joined.
+MOST_IDS, MOST_BYTES, QUERIES = 10_000, 4 << 20, 256
+
 
 def effective_k(k: int | None, limit: int | None, offset: int = 0) -> int:
     """How many rows are needed: k, or the window of LIMIT and OFFSET, or the smaller; the default k without either."""
@@ -31,6 +35,10 @@ def effective_k(k: int | None, limit: int | None, offset: int = 0) -> int:
     return window if k is None else min(k, window)
 
 
+def _table(df: DataFrame, ids: np.ndarray) -> DataFrame:
+    return df.sparkSession.createDataFrame(pa.table({"_allowed": pa.array(ids, pa.int64())}))
+
+
 def allow(df: DataFrame, allowed, id_col: str) -> DataFrame:
     """Rows whose id is allowed: by a DataFrame of ids (first column), a bitset, or a list of ids; None allows all."""
     if allowed is None:
@@ -39,8 +47,12 @@ def allow(df: DataFrame, allowed, id_col: str) -> DataFrame:
         ids = allowed.select(F.col(allowed.columns[0]).cast("long").alias("_allowed"))
         return df.join(ids, df[id_col] == ids["_allowed"], "left_semi")
     if isinstance(allowed, bytes | bytearray):
+        if len(allowed) > MOST_BYTES:
+            return allow(df, _table(df, ids_of(bytes(allowed))), id_col)
         return df.where(bit_at(F.lit(bytes(allowed)), F.col(id_col))) if allowed else df.where(F.lit(False))
     if isinstance(allowed, list | tuple | set | range):
+        if len(allowed) > MOST_IDS:
+            return allow(df, _table(df, np.fromiter(allowed, np.int64, len(allowed))), id_col)
         return df.where(F.col(id_col).isin([int(i) for i in allowed]))
     raise EngineError("allowed_ids must be a bitset, ids or None")
 
@@ -74,15 +86,6 @@ def knn(
     return best.orderBy("distance", "id").limit(limit) if limit is not None and limit >= 0 else best
 
 
-def _k_smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest by (distance, id)."""
-    if len(d) > k:
-        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    else:
-        near = np.arange(len(d))
-    return near[np.lexsort((ids[near], d[near]))[:k]]
-
-
 def knn_batch(
     df: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: Metric | str = "l2", element: Element | str = "f32", *, allowed=None, id_col: str = "id", vec_col: str = "vec",
     query_id: str = "query_id", query_vec: str = "query", max_queries: int = 4096,
@@ -96,37 +99,89 @@ def knn_batch(
     wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query")).where("query is not null")
     kind = wanted.schema["query_id"].dataType.simpleString()
     rows = allow(df, allowed, id_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
-    sets = max(1, -(-wanted.count() // max_queries))
+    whole = wanted.limit(max_queries + 1).toArrow()
+    sets = [whole]
+    if whole.num_rows > max_queries:
+        n = -(-wanted.count() // max_queries)
+        sets = [wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == s).toArrow() for s in range(n)]
     found = None
-    for s in range(sets):
-        own = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == s).toArrow()
-        part = rows.mapInArrow(_scorer(own, k, metric, element), f"query_id {kind}, id long, distance double")
+    for own in sets:
+        part = rows.mapInArrow(_scorer(df.sparkSession, own, k, metric, element), f"query_id {kind}, id long, distance double")
         found = part if found is None else found.unionByName(part)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k)
 
 
-def _scorer(own: pa.Table, k: int, metric: Metric, element: Element):
-    names = own.column("query_id")
-    vectors = [np.array(metrics.query_values(q, element), np.float64) for q in own.column("query").to_pylist()]
+class _Best:
+    """The k nearest rows of each query so far, as one table sorted by query, distance and id."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: Metric, element: Element):
+        self.q, self.k, self.metric, self.element = queries, k, metric, element
+        self.norms = (queries * queries).sum(axis=1)
+        self.query, self.d, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.worst = np.full(len(queries), np.inf)  # of queries that have k rows
+
+    def bounds(self, rows: np.ndarray, norms: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of some queries to all rows (queries x rows), and how far they may be off for each query."""
+        q, own = self.q[at], self.norms[at]
+        if self.metric is Metric.l1:
+            return np.stack([metrics.numpy_distances(rows, x, self.metric, self.element) for x in q]), np.zeros(len(q))
+        product = q @ rows.T
+        if self.metric is Metric.l2:
+            product *= -2
+            product += norms
+            product += own[:, None]
+            return product, 4e-12 * (norms.max() + own)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            product /= np.sqrt(np.outer(own, norms))
+        product = 1 - product
+        product[:, norms == 0] = 1
+        product[own == 0] = np.where(norms == 0, 0.0, 1.0)
+        return product, np.full(len(q), 1e-11)
+
+    def take(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        if self.metric is not Metric.l1:
+            rows = rows.astype(np.float64)
+        norms = (rows * rows).sum(axis=1) if self.metric is not Metric.l1 else rows[:, 0]
+        found = []
+        for a in range(0, len(self.q), QUERIES):
+            at = slice(a, a + QUERIES)
+            near, off = self.bounds(rows, norms, at)
+            limit = self.worst[at]
+            if len(ids) > self.k and not (limit < np.inf).all():
+                limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + off)
+            j, i = np.nonzero(near <= (limit + off)[:, None])
+            d = near[j, i] if self.metric is Metric.l1 else metrics.pair_distances(rows[i], self.q[at][j], self.metric)
+            found.append((j + a, d, ids[i]))
+        query, d, i = (np.concatenate(x) for x in zip((self.query, self.d, self.ids), *found, strict=True))
+        order = np.lexsort((i, d, query))
+        query, d, i = query[order], d[order], i[order]
+        first = np.searchsorted(query, np.arange(len(self.q)))
+        place = np.arange(len(query)) - first[query]
+        keep = place < self.k
+        last = place == self.k - 1
+        self.worst[query[last]] = d[last]
+        self.query, self.d, self.ids = query[keep], d[keep], i[keep]
+
+
+def _scorer(spark, own: pa.Table, k: int, metric: Metric, element: Element):
+    names = own.column("query_id").combine_chunks()
+    vectors = [metrics.query_values(q, element) for q in own.column("query").to_pylist()]
+    if len({len(q) for q in vectors}) > 1:
+        raise EngineError("vectors and queries must have the same dimension")
+    held = spark.sparkContext.broadcast((names, np.array(vectors, np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in vectors]
+        names, queries = held.value
+        best = _Best(queries, k, metric, element) if len(queries) else None
         for batch in batches:
-            if not batch.num_rows or not vectors:
+            if not batch.num_rows or not best:
                 continue
-            ids, lists = batch.column("id").to_numpy(), batch.column("vec")
-            sizes = np.diff(lists.offsets.to_numpy())
-            if (sizes != sizes[0]).any() or any(len(q) != sizes[0] for q in vectors):
+            lists = batch.column("vec")
+            if (np.diff(lists.offsets.to_numpy()) != queries.shape[1]).any():
                 raise EngineError("vectors and queries must have the same dimension")
-            grid = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            for j, q in enumerate(vectors):
-                d = np.concatenate([best[j][0], metrics.numpy_distances(grid, q, metric, element)])
-                i = np.concatenate([best[j][1], ids])
-                at = _k_smallest(d, i, k)
-                best[j] = d[at], i[at]
-        for j, (d, i) in enumerate(best):
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array([names[j].as_py()] * len(d), names.type), pa.array(i), pa.array(d)], ["query_id", "id", "distance"])
+            best.take(batch.column("id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        if best and len(best.query):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.d)], ["query_id", "id", "distance"])
 
     return run

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vespera.functions import vectext
 from vespera.operators import knn as search
+from vespera.plans import sql as surface
 from vespera.plans.lock import OwnerLock
 from vespera.plans.pending import Pending
 from vespera.plans.store import Store
@@ -115,7 +116,17 @@ class Dataset:
         return self.store.rows()
 
     def get(self, id_: int) -> list | None:
-        return self.store.get(check_id(id_))
+        return self._again(lambda: self.store.get(check_id(id_)))
+
+    @staticmethod
+    def _again(run, times: int = 3):
+        """run(), once more with the newest version where files went meanwhile (`vacuum` by a writer)."""
+        for left in reversed(range(times)):
+            try:
+                return run()
+            except Exception as e:
+                if not left or not any(x in str(e) for x in ("FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFound")):
+                    raise
 
     def knn(self, query: str | list, k: int | None = None, **more) -> DataFrame:
         if isinstance(query, str):
@@ -129,7 +140,7 @@ class Dataset:
         return out
 
     def find_ids(self, query, k: int = DEFAULT_K, **more) -> list[int]:
-        return [r["id"] for r in self.knn(query, k, **more).collect()]
+        return self._again(lambda: [r["id"] for r in self.knn(query, k, **more).collect()])
 
 
 class Engine:
@@ -140,6 +151,7 @@ class Engine:
         self.dataset: Dataset | None = None
         self._found: list[int] = []
         self._got = ""
+        self._surface: surface.Following | None = None
 
     def __enter__(self) -> Engine:
         return self
@@ -230,6 +242,15 @@ class Engine:
         self._found = self.open_dataset.find_ids(query, k, **more)
         return self._found
 
+    def sql(self, text: str) -> DataFrame:
+        """SQL over the open dataset, as it is published now: a view of its name, and its table functions."""
+        d = self.open_dataset
+        if self._surface is None or self._surface.stores.get(d.name, [None])[0] is not d.store:
+            self._surface = surface.Following(self.spark)
+            surface.register(self.spark)
+            self._surface.attach(d.name, d.store)
+        return self._surface.sql(text)
+
     def kres(self, index: int = -1) -> int:
         """The number of ids that the last knn found (-1), or one of them; 0 beyond them."""
         if index == -1:

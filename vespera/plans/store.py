@@ -2,17 +2,23 @@
 
     <root>/<name>/meta.json              what is fixed
     <root>/<name>/manifest/<n>.json      for each range: version and counts of its base and delta
-    <root>/<name>/data/version=<n>/kind=base|delta/file_id=<range>/*.parquet
+    <root>/<name>/data/version=<v>/kind=base|delta/file_id=<range>/*.parquet
     <root>/<name>/pending/*.json         operations not yet stored
 
 A change writes new files, then a new manifest: readers see all of it or nothing, and files they
-read are never overwritten. Ranges that a change doesn't touch keep their files.
+read are never overwritten. Ranges that a change doesn't touch keep their files. A version's name is
+its manifest's number and a random part, so a writer that loses the race for a number has
+destroyed nothing. Where all ranges of a version still stand, its folder is read as a whole: after a
+bulk load the driver names one path, not one for each range. With `dirs`, range f lies in
+<dirs[f % number of dirs]>/<name>/data instead.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +32,15 @@ from vespera.types import EngineError, Metadata, Metric
 
 @dataclass(frozen=True)
 class Manifest:
-    """base, delta: file_id -> [version, vectors, deletes]; a base without vectors has no file."""
+    """base, delta: file_id -> [version, vectors, deletes]; a base without vectors has no file. written: ranges of `version/kind` as written."""
 
     number: int
-    base: dict[int, list[int]]
-    delta: dict[int, list[int]]
+    base: dict[int, list]
+    delta: dict[int, list]
+    written: dict[str, int] = field(default_factory=dict)
 
     def text(self) -> str:
-        return json.dumps({"number": self.number, "base": self.base, "delta": self.delta})
+        return json.dumps({"number": self.number, "base": self.base, "delta": self.delta, "written": self.written})
 
     @classmethod
     def of(cls, text: str) -> Manifest:
@@ -41,7 +48,7 @@ class Manifest:
         base, delta = ({int(k): v for k, v in raw[kind].items()} for kind in ("base", "delta"))
         if any(f not in base for f in delta):
             raise EngineError("delta without base")
-        return cls(raw["number"], base, delta)
+        return cls(raw["number"], base, delta, raw.get("written", {}))
 
 
 class Store:
@@ -64,8 +71,18 @@ class Store:
     def drop(self) -> None:
         if not self.exists():
             raise EngineError(f"no such dataset: {self.dir}")
+        for folder in self._folders():
+            self.files_of(folder).remove(folder)
         self.files.remove(self.dir)
 
+    def files_of(self, folder: str) -> Files:
+        return Files(self.spark, folder)
+
+    def _folders(self) -> list[str]:
+        """Where data lies: one folder, or one in each of `dirs`."""
+        meta = self.meta
+        return [f"{d.rstrip('/')}/{meta.name}/data" for d in meta.dirs] or [f"{self.dir}/data"]
+
     @property
     def meta(self) -> Metadata:
         if not self.exists():
@@ -83,24 +100,30 @@ class Store:
         norm = ", inv_norm float" if meta.metric is Metric.cos else ""
         return f"id long, vec array<{meta.element.sql}>{norm}" + (", op string" if delta else "")
 
-    def _read(self, meta: Metadata, kind: str, ranges: dict[int, list[int]]) -> DataFrame:
-        schema = self._schema(meta, kind == "delta")
-        paths = [f"{self.dir}/data/version={v}/kind={kind}/file_id={f}" for f, (v, n, d) in sorted(ranges.items()) if n or (kind == "delta" and d)]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+    def _read(self, meta: Metadata, kind: str, ranges: dict[int, list], written: dict[str, int]) -> DataFrame:
+        schema, folders = self._schema(meta, kind == "delta"), self._folders()
+        by_version: dict[str, list[int]] = {}
+        for f, (v, n, d) in sorted(ranges.items()):
+            if n or (kind == "delta" and d):
+                by_version.setdefault(v, []).append(f)
+        whole = [v for v, fs in by_version.items() if not meta.dirs and len(fs) > 1 and written.get(f"{v}/{kind}") == len(fs)][:32]
+        parts = [self.spark.read.schema(schema).parquet(f"{folders[0]}/version={v}/kind={kind}").drop("file_id") for v in whole]
+        paths = [f"{folders[meta.dir_slot(f)]}/version={v}/kind={kind}/file_id={f}" for v, fs in by_version.items() if v not in whole for f in fs]
+        if paths:
+            parts.append(self.spark.read.schema(schema).parquet(*paths))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def base_rows(self, m: Manifest, only=None) -> DataFrame:
-        return self._read(self.meta, "base", {f: x for f, x in m.base.items() if only is None or f in only})
+        return self._read(self.meta, "base", {f: x for f, x in m.base.items() if only is None or f in only}, m.written)
 
     def delta_rows(self, m: Manifest, only=None) -> DataFrame:
-        return self._read(self.meta, "delta", {f: x for f, x in m.delta.items() if only is None or f in only})
+        return self._read(self.meta, "delta", {f: x for f, x in m.delta.items() if only is None or f in only}, m.written)
 
     def rows(self, m: Manifest | None = None, only=None) -> DataFrame:
         """The visible rows (id, vec[, inv_norm]); ranges without a delta are read as they are."""
         m = m or self.manifest()
         touched = {f for f in m.delta if only is None or f in only}
-        clean = self._read(self.meta, "base", {f: x for f, x in m.base.items() if f not in touched and (only is None or f in only)})
+        clean = self._read(self.meta, "base", {f: x for f, x in m.base.items() if f not in touched and (only is None or f in only)}, m.written)
         if not touched:
             return clean
         return clean.unionByName(overlay.visible(self.base_rows(m, touched), self.delta_rows(m, touched)))
@@ -170,14 +193,20 @@ class Store:
             parts.append(change.where(~in_base).drop("file_id").withColumn("kind", F.lit("delta")))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         out = out.withColumn("file_id", overlay.file_of("id", meta.range_size))
-        path = f"{self.dir}/data/version={number}"
-        out.repartition("kind", "file_id").sortWithinPartitions("kind", "file_id", "id").write.mode("overwrite").partitionBy("kind", "file_id").parquet(path)
-        schema = "id long, op string, kind string, file_id long"
-        there = self.spark.read.schema(schema).parquet(path).groupBy("kind", "file_id").agg(F.count_if(F.col("op") == "U").alias("u"), F.count_if(F.col("op") == "D").alias("d")).collect()
-        found = {(r["kind"], r["file_id"]): [number, r["u"], r["d"]] for r in there}
-        base = m.base | {f: found.get(("base", f), [number, 0, 0]) for f in to_base}
+        version, folders = f"{number}-{uuid.uuid4().hex[:8]}", self._folders()
+        found: dict[tuple[str, int], list] = {}
+        for slot, folder in enumerate(folders):
+            own = out.where(F.pmod("file_id", F.lit(len(folders))) == slot) if len(folders) > 1 else out
+            path = f"{folder}/version={version}"
+            own.repartition("kind", "file_id").sortWithinPartitions("kind", "file_id", "id").write.partitionBy("kind", "file_id").parquet(path)
+            there = self.spark.read.schema("id long, op string, kind string, file_id long").parquet(path)
+            for r in there.groupBy("kind", "file_id").agg(F.count_if(F.col("op") == "U").alias("u"), F.count_if(F.col("op") == "D").alias("d")).collect():
+                found[r["kind"], r["file_id"]] = [version, r["u"], r["d"]]
+        base = m.base | {f: found.get(("base", f), [version, 0, 0]) for f in to_base}
         delta = {f: x for f, x in m.delta.items() if f not in to_base} | {f: found[("delta", f)] for f in to_delta if ("delta", f) in found}
-        new = Manifest(number, base, delta)
+        live = {x[0] for x in [*base.values(), *delta.values()]}
+        written = {k: n for k, n in m.written.items() if k.split("/")[0] in live} | {f"{version}/{kind}": sum(k == kind for k, _ in found) for kind in ("base", "delta")}
+        new = Manifest(number, base, delta, written)
         if not self.files.write(f"{self.dir}/manifest/{number}.json", new.text()):
             raise EngineError("another writer published a change first")
         return new
@@ -186,9 +215,11 @@ class Store:
         """Removes files and manifests that the newest manifest doesn't name; no reader may still use older ones."""
         m = self.manifest()
         live = {x[0] for x in [*m.base.values(), *m.delta.values()]}
-        for name in self.files.names(f"{self.dir}/data"):
-            if name.startswith("version=") and int(name[8:]) not in live:
-                self.files.remove(f"{self.dir}/data/{name}")
+        for folder in self._folders():
+            files = self.files_of(folder)
+            for name in files.names(folder):
+                if name.startswith("version=") and name[8:] not in live:
+                    files.remove(f"{folder}/{name}")
         for name in self.files.names(f"{self.dir}/manifest"):
             if name.endswith(".json") and int(name[:-5]) < m.number:
                 self.files.remove(f"{self.dir}/manifest/{name}")

@@ -6,6 +6,7 @@ vector of one row. Deltas are made of labels: label 3 is moved, label 5 deleted.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ from vespera.plans import overlay
 from vespera.plans import sql as surface
 from vespera.plans.engine import Engine
 from vespera.sources import generate, vecfile
-from vespera.types import Element
+from vespera.types import EngineError, Element
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +60,12 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def temp_root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vespera-")
+    """A new folder in spark.checkpoint.dir; where that is unset, a temporary one in a local session, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vespera-")
     return f"{base.rstrip('/')}/datasets-{uuid.uuid4().hex}"
 
 
@@ -483,8 +489,52 @@ def format_vector_text(spark, sf_dir):
     return scaled(vectors(spark, sf_dir)).select("id", vectext.formatted(F.col("vec"), Element.i16).alias("line"))
 
 
-@query()
+STEP = "pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10)"
+F16 = f"v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x::DOUBLE / {STEP}, 0) * {STEP} END) AS vec, label FROM embeddings)"
+
+
+@query(sql_knn("l2", rows=F16, kind="f16"))
 def knn_f16(spark, sf_dir):
-    """Half precision has no type in SQL; the tests hold it against numpy."""
+    """Half precision; its SQL rounds to 11 significant bits."""
     v = vectors(spark, sf_dir).withColumn("vec", vectext.half(F.col("vec")))
     return rounded(knn(v, query_vector(v), 10, "l2", "f16"))
+
+
+@query(sql_knn("l2", rows=I16, kind="i16"))
+def file_scan_text(spark, sf_dir):
+    """A search over a vector file: the table is written in the text form and read again."""
+    v = scaled(vectors(spark, sf_dir))
+    path = temp_root(spark)
+    vecfile.write_text(v, path, Element.i16, 64)
+    header, rows = vecfile.read_vectors(spark, path)
+    return rounded(knn(rows, query_vector(v), 10, "l2", header.element))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id BETWEEN 40 AND 49 AND vec_id NOT IN (41, 43) UNION ALL SELECT 1000000 AS id, NULL AS label ORDER BY id")
+def pending_operations(spark, sf_dir):
+    """Single operations beside a bulk load, replayed from their log by another session of the dataset, and flushed."""
+    v = vectors(spark, sf_dir)
+    root = temp_root(spark)
+    with Engine(spark, root) as e:
+        d = e.create("embeddings", dim=64, range_size=RANGE, dist_func="l2")
+        d.load(v.select("id", "vec"))
+        for i in (41, 43, 44):
+            e.delete(i)
+        e.ups2(44, 0.5)
+        e.ups2(1_000_000, 1.0)
+        d.lock.release()
+        e.dataset = None
+        d = e.open("embeddings")
+        d.flush()
+        return d.rows().where("id between 40 and 49 or id = 1000000").select("id").join(v.select("id", "label"), "id", "left")
+
+
+@query(sql_knn("cos", where="WHERE label = 3").replace("LIMIT 10", "LIMIT 6"))
+def knn_table_function_bitset(spark, sf_dir):
+    """The table function with a bitset of allowed ids, over a stored dataset of cosine distances with their norms."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        d = e.create("bits_vectors", dim=64, range_size=RANGE, dist_func="cos")
+        d.load(v.select("id", "vec"))
+        v.select("id", "label").createOrReplaceTempView("bits_labels")
+        return e.sql(f"SELECT id, round(distance, 6) AS distance FROM knn_bits_vectors_bits((SELECT vec FROM bits_vectors WHERE id = {QUERY_ID}), (SELECT bitset_agg(id) FROM bits_labels WHERE label = 3), 6)")

@@ -1,7 +1,10 @@
 """Vector files: the text form, the packed binary form, and both as sinks.
 
 Text: a line `type,dim`, then `id : [ v, v, ... ]`; `id : []` deletes. Binary: a line `type,dim,bin`,
-then records of a little-endian 64-bit id and the packed components.
+then records of a little-endian 64-bit id and the packed components. Files may be of any size: of a
+header only the first bytes are read, text is split by Spark, and binary files by ranges of records
+wherever Python can read them too (local and shared folders, object stores); elsewhere each is read
+whole by one task, and must be under 2 GB.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.functions import vectext
+from vespera.sources.files import Files
 from vespera.types import MAX_ID, EngineError, Element, check_dim
 
 
@@ -41,13 +45,13 @@ def parse_header(line: str) -> Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
+    """The header of the first file."""
     try:
-        first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("head")).head(1)
+        files = Files(spark, path)
+        line = files.first_line(files.listing(path)[0][0])
     except Exception as e:
         raise EngineError(f"failed to open file: {path}") from e
-    if not first:
-        raise EngineError(f"failed to open file: {path}")
-    return parse_header(bytes(first[0]["head"]).split(b"\n")[0].decode("latin-1"))
+    return parse_header(line)
 
 
 def read_text(spark: SparkSession, path: str, lenient: bool = False) -> tuple[Header, DataFrame]:
@@ -68,36 +72,74 @@ def read_text(spark: SparkSession, path: str, lenient: bool = False) -> tuple[He
     return header, rows.select("id", vec.alias("vec"), F.when(gone, "D").otherwise("U").alias("op"))
 
 
-def read_binary(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
-    """(header, rows id, vec, op) of packed files; each file is read by one task, so large loads come in several files."""
+def _batches(rows: np.ndarray, header: Header) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 4096):
+        part = rows[at : at + 4096]
+        if int(part["id"].max()) > MAX_ID:
+            raise EngineError(f"id must be an integer from 0 to {MAX_ID}")
+        values = part["vec"].astype(np.int16 if header.element is Element.i16 else np.float32)
+        if not np.isfinite(values).all():
+            raise EngineError("non-finite component in binary file")
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, header.dim, dtype=np.int32)), pa.array(values.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), vectors, pa.array(["U"] * len(part))], ["id", "vec", "op"])
+
+
+def _same_header(data: bytes, header: Header) -> int:
+    """Bytes before the first record."""
+    line = data.partition(b"\n")[0]
+    if parse_header(line.decode("latin-1")) != header:
+        raise EngineError("files of one load must have the same header")
+    return len(line) + 1
+
+
+def read_binary(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> tuple[Header, DataFrame]:
+    """(header, rows id, vec, op) of packed files, each read in ranges of about range_bytes."""
     header = read_header(spark, path)
     record = np.dtype([("id", "<u8"), ("vec", header.element.numpy, (header.dim,))])
-    kind = pa.int16() if header.element is Element.i16 else pa.float32()
-    head = header.line()
+    each = max(1, range_bytes // record.itemsize)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, name = FileSystem.from_uri(r["uri"])
+                with system.open_input_file(name) as f:
+                    begin = _same_header(f.read_at(64, 0), header)
+                    if (f.size() - begin) % record.itemsize:
+                        raise EngineError("truncated binary record")
+                    last = min(r["first"] + each, (f.size() - begin) // record.itemsize)
+                    for at in range(r["first"], last, 65_536):
+                        n = min(65_536, last - at)
+                        yield from _batches(np.frombuffer(f.read_at(n * record.itemsize, begin + at * record.itemsize), record), header)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_buffer()
-                line, _, _ = data[:64].to_pybytes().partition(b"\n")
-                if parse_header(line.decode("latin-1")).line() != head:
-                    raise EngineError("files of one load must have the same header")
-                size = len(data) - len(line) - 1
-                if size % record.itemsize:
+                begin = _same_header(data[:64].to_pybytes(), header)
+                if (len(data) - begin) % record.itemsize:
                     raise EngineError("truncated binary record")
-                rows = np.frombuffer(data, record, size // record.itemsize, len(line) + 1)
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    if len(part) and int(part["id"].max()) > MAX_ID:
-                        raise EngineError(f"id must be an integer from 0 to {MAX_ID}")
-                    values = part["vec"].astype(np.int16 if header.element is Element.i16 else np.float32)
-                    if not np.isfinite(values).all():
-                        raise EngineError("non-finite component in binary file")
-                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, header.dim, dtype=np.int32)), pa.array(values.reshape(-1), kind))
-                    yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), vectors, pa.array(["U"] * len(part))], ["id", "vec", "op"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return header, files.mapInArrow(run, f"id long, vec array<{header.element.sql}>, op string")
+                yield from _batches(np.frombuffer(data, record, (len(data) - begin) // record.itemsize, begin), header)
+
+    kind = f"id long, vec array<{header.element.sql}>, op string"
+    files = Files(spark, path).listing(path)
+    if not all(_reachable(uri) for uri, _ in files):
+        return header, spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, kind)
+    parts = [(uri, first) for uri, size in files for first in range(0, max(1, size // record.itemsize), each)]
+    return header, spark.createDataFrame(parts, "uri string, first long").repartition(min(len(parts), 10_000)).mapInArrow(ranges, kind)
+
+
+def _reachable(uri: str) -> bool:
+    """Whether Python's file systems open this."""
+    from pyarrow.fs import FileSystem
+
+    try:
+        system, name = FileSystem.from_uri(uri)
+        system.open_input_file(name).close()
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
 
 
 def read_vectors(spark: SparkSession, path: str, lenient: bool = False) -> tuple[Header, DataFrame]:
