@@ -31,7 +31,7 @@ from vespera.llm.merges import Merges
 class Codec(dict):
     """piece of text -> its ids as decimal numbers with one space between: a cache, at most `most` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000):
         super().__init__()
         rank = {t.decode("latin-1"): i for t, i in ranks.items()}
         self.names = {t: str(i) for t, i in rank.items()}

@@ -64,7 +64,7 @@ class Merges:
     def compatible(self, a, b) -> bool:
         known = self.known.get((a, b))
         if known is None:
-            if len(self.known) > 250_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             known = self.known[a, b] = self._apart(self._spine(a, 1), self._spine(b, 0))
         return known
