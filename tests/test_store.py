@@ -142,6 +142,24 @@ def test_bulk_deletes_need_a_base(engine, spark):
         load(engine, spark, [], [3])
 
 
+def test_first_load_reads_its_input_once(engine, spark, tmp_path):
+    engine.create("a")
+    store, read = engine.open_dataset.store, spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    data = tmp_path / "db" / "a" / "data"
+    store.apply(table(spark, []), bulk=True)
+    with pytest.raises(EngineError, match="invalid deleted items"):
+        store.apply(table(spark, [(1, None), (2, None)], [3]), bulk=True)
+    assert not list(data.glob("version=*")) and store.manifest().number == 0
+    store.apply(table(spark, [(i, None) for i in range(50)]).mapInArrow(count, "id long, vec array<float>, op string"), bulk=True)
+    assert read.value == 50 and live(engine) == list(range(50)) and store.manifest().number == 1
+
+
 def test_damaged_log(engine):
     d = engine.create("a")
     d.upsert(1, "1, 2, 3, 4")

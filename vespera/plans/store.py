@@ -20,7 +20,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.functions import metrics
@@ -155,6 +155,8 @@ class Store:
         """
         meta, m = self.meta, self.manifest()
         rows = self._complete(updates).withColumn("file_id", overlay.file_of("id", meta.range_size))
+        if bulk and not m.base and not meta.dirs:
+            return self._first(m, rows)
         counts = rows.groupBy("file_id").agg(F.count_if(F.col("op") == "U").alias("u"), F.count_if(F.col("op") == "D").alias("d")).collect()
         if not counts:
             return m
@@ -172,6 +174,19 @@ class Store:
         to_base = fresh | {f for f in affected if f in m.base and m.base[f][1] < size[f] * meta.data_merge_ratio}
         return self._write(m, change, to_base, set(affected) - to_base)
 
+    def _first(self, m: Manifest, rows: DataFrame) -> Manifest:
+        """A bulk load without any base: all ranges are new, so rows are written at once and deletes counted on the way."""
+        seen = Observation()
+        vectors = rows.observe(seen, F.count_if(F.col("op") == "D").alias("deletes")).where("op = 'U'")
+        version, found = self._files(m, vectors.withColumn("kind", F.lit("base")))
+        deletes = seen.get["deletes"] if found else rows.where("op = 'D'").limit(1).count()  # a plan without rows may lose its metrics
+        if deletes or not found:
+            for folder in self._folders():
+                self.files_of(folder).remove(f"{folder}/version={version}")
+        if deletes:
+            raise EngineError("invalid deleted items: their range holds no vectors")
+        return self._publish(m, {f: x for (_, f), x in found.items()}, {}, version, found) if found else m
+
     def compact(self) -> Manifest:
         """Folds every delta into its base."""
         m = self.manifest()
@@ -181,7 +196,6 @@ class Store:
         return self._write(m, change, set(m.delta), set())
 
     def _write(self, m: Manifest, change: DataFrame, to_base: set[int], to_delta: set[int]) -> Manifest:
-        meta, number = self.meta, m.number + 1
         in_base = F.col("file_id").isin(list(to_base))
         parts = []
         if to_base:
@@ -192,8 +206,14 @@ class Store:
         if to_delta:
             parts.append(change.where(~in_base).drop("file_id").withColumn("kind", F.lit("delta")))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        out = out.withColumn("file_id", overlay.file_of("id", meta.range_size))
-        version, folders = f"{number}-{uuid.uuid4().hex[:8]}", self._folders()
+        version, found = self._files(m, out.withColumn("file_id", overlay.file_of("id", self.meta.range_size)))
+        base = m.base | {f: found.get(("base", f), [version, 0, 0]) for f in to_base}
+        delta = {f: x for f, x in m.delta.items() if f not in to_base} | {f: found[("delta", f)] for f in to_delta if ("delta", f) in found}
+        return self._publish(m, base, delta, version, found)
+
+    def _files(self, m: Manifest, out: DataFrame) -> tuple[str, dict[tuple[str, int], list]]:
+        """Writes rows with kind and file_id as a new version; its name, and what the files hold for each kind and range."""
+        version, folders = f"{m.number + 1}-{uuid.uuid4().hex[:8]}", self._folders()
         found: dict[tuple[str, int], list] = {}
         for slot, folder in enumerate(folders):
             own = out.where(F.pmod("file_id", F.lit(len(folders))) == slot) if len(folders) > 1 else out
@@ -202,8 +222,10 @@ class Store:
             there = self.spark.read.schema("id long, op string, kind string, file_id long").parquet(path)
             for r in there.groupBy("kind", "file_id").agg(F.count_if(F.col("op") == "U").alias("u"), F.count_if(F.col("op") == "D").alias("d")).collect():
                 found[r["kind"], r["file_id"]] = [version, r["u"], r["d"]]
-        base = m.base | {f: found.get(("base", f), [version, 0, 0]) for f in to_base}
-        delta = {f: x for f, x in m.delta.items() if f not in to_base} | {f: found[("delta", f)] for f in to_delta if ("delta", f) in found}
+        return version, found
+
+    def _publish(self, m: Manifest, base: dict[int, list], delta: dict[int, list], version: str, found: dict[tuple[str, int], list]) -> Manifest:
+        number = m.number + 1
         live = {x[0] for x in [*base.values(), *delta.values()]}
         written = {k: n for k, n in m.written.items() if k.split("/")[0] in live} | {f"{version}/{kind}": sum(k == kind for k, _ in found) for kind in ("base", "delta")}
         new = Manifest(number, base, delta, written)
