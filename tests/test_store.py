@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vespera.plans import overlay
 from vespera.plans.engine import Dataset, Engine
@@ -420,3 +421,32 @@ def test_ranges_lie_in_several_dirs(spark, tmp_path):
         assert d.get(50) == [0.5] * 4 and d.get(99) is not None and d.rows().count() == 100
         e.drop("a")
         assert not any((tmp_path / f"d{i}/a/data").exists() for i in range(3))
+
+
+def test_binary_files_written(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: (F.col("id") * j).cast("smallint")).alias("vec"))
+    path = f"file://{tmp_path}/packed"
+    vecfile.write_binary(rows, path, Element.i16, 5)
+    header, back = vecfile.read_vectors(spark, path)
+    assert (header.element, header.dim, header.binary) == (Element.i16, 5, True)
+    assert sorted((r["id"], r["vec"]) for r in back.collect()) == sorted((r["id"], r["vec"]) for r in rows.collect())
+    assert not [f for f in (tmp_path / "packed").iterdir() if f.name[0] == "_"]
+    with pytest.raises(EngineError, match="path exists"):
+        vecfile.write_binary(rows, path, Element.i16, 5)
+    empty = f"file://{tmp_path}/none"
+    vecfile.write_binary(rows.where("false"), empty, Element.i16, 5)
+    assert vecfile.read_vectors(spark, empty)[1].count() == 0
+    with pytest.raises(Exception, match="no deletes"):
+        vecfile.write_binary(rows.withColumn("vec", F.when(F.col("id") != 3, F.col("vec"))), f"file://{tmp_path}/gone", Element.i16, 5)
+
+
+def test_read_only_and_visible_query(engine, spark):
+    d = engine.create("a", dist_func="l2")
+    load(engine, spark, range(20))
+    for text in ("insert into a values (1, null)", " UPDATE `a` SET id = 1", "delete from A where id = 1", "TRUNCATE TABLE a", "MERGE INTO a USING b ON true WHEN MATCHED THEN DELETE"):
+        with pytest.raises(EngineError, match="read-only"):
+            engine.sql(text)
+    assert engine.sql("SELECT count(*) AS n FROM a").first()["n"] == 20
+    found = d.knn("3 3 3 3", 2, show=True).collect()
+    assert [(r["id"], r["query"], r["k"]) for r in found] == [(3, "3 3 3 3", 2), (2, "3 3 3 3", 2)]
+    assert d.knn([3.0] * 4, 1, show=True).first()["query"] == "[ 3, 3, 3, 3 ]"

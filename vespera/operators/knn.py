@@ -65,10 +65,12 @@ def check_query(query: Sequence[float] | None) -> list[float]:
 
 def knn(
     df: DataFrame, query: Sequence[float], k: int | None = None, metric: Metric | str = "l2", element: Element | str = "f32", *, allowed=None, limit: int | None = None,
-    offset: int = 0, id_col: str = "id", vec_col: str = "vec", inv_norm_col: str | None = None, strategy: str = "auto", rank: bool = False, keep: Sequence[str] = (),
+    offset: int = 0, id_col: str = "id", vec_col: str = "vec", inv_norm_col: str | None = None, strategy: str = "auto", rank: bool = False, keep: Sequence[str] = (), shown: str | None = None,
 ) -> DataFrame:
     """The k nearest rows as (id, distance), ascending; rank adds 1..n, keep further columns of df.
 
+    shown adds the columns query (this text) and k, as the search was asked for.
+
     allowed is applied before the k best are taken; a filter on the result comes after. With
     inv_norm_col, cosine distances are taken from stored inverse norms.
     """
@@ -83,7 +85,9 @@ def knn(
         best = best.withColumn("rank", F.row_number().over(W.orderBy("distance", "id")))
     if offset > 0:
         best = best.orderBy("distance", "id").offset(offset)
-    return best.orderBy("distance", "id").limit(limit) if limit is not None and limit >= 0 else best
+    if limit is not None and limit >= 0:
+        best = best.orderBy("distance", "id").limit(limit)
+    return best if shown is None else best.withColumns({"query": F.lit(shown), "k": F.lit(n if k is None else k)})
 
 
 def knn_batch(

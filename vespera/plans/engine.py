@@ -128,12 +128,16 @@ class Dataset:
                 if not left or not any(x in str(e) for x in ("FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFound")):
                     raise
 
-    def knn(self, query: str | list, k: int | None = None, **more) -> DataFrame:
+    def knn(self, query: str | list, k: int | None = None, show: bool = False, **more) -> DataFrame:
+        """(id, distance) of the k nearest; show adds the query's text (of `@path` the file's contents) and k."""
+        if show and not isinstance(query, str):
+            query = vectext.format_vector(query, self.meta.element)
         if isinstance(query, str):
             text = vectext.load_query(self.spark, query)
             if not text.strip():
                 raise EngineError("query must not be empty")
             query = vectext.parse_vector(text, self.meta.element, self.meta.dim, vectext.has_commas(text))
+            more |= {"shown": text} if show else {}
         began = time.perf_counter()
         out = self.store.knn(query, k, **more)
         log.info("knn %s metric=%s type=%s dim=%d k=%s planned in %.1f ms", self.name, self.meta.dist_func, self.meta.type, self.meta.dim, k, 1000 * (time.perf_counter() - began))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from vespera.functions import bitset, metrics
@@ -49,8 +51,12 @@ def expose(spark: SparkSession, name: str, rows: DataFrame, metric: Metric | str
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION knn_{name}_in(q {kind}, ids ARRAY<BIGINT>, k INT DEFAULT {DEFAULT_K}) RETURNS TABLE(id BIGINT, distance DOUBLE) RETURN {body.format(d=d, name=name, where=' WHERE ids IS NULL OR array_contains(ids, v.id)')}")
 
 
+#: The target of a statement that changes rows.
+CHANGE = re.compile(r"\s*(?:insert\s+(?:into|overwrite)|update|delete\s+from|merge\s+into|truncate)\s+(?:table\s+)?`?([\w.-]+)`?", re.IGNORECASE)
+
+
 class Following:
-    """SQL over stored datasets: each statement sees the newest published version of each."""
+    """SQL over stored datasets: each statement sees the newest published version of each, and none changes one."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.stores = spark, {}
@@ -59,6 +65,9 @@ class Following:
         self.stores[name] = [store, None]
 
     def sql(self, text: str) -> DataFrame:
+        target = CHANGE.match(text)
+        if target and target[1].lower() in (name.lower() for name in self.stores):
+            raise EngineError(f"read-only in SQL: {target[1]}")
         for name, held in self.stores.items():
             store, known = held
             m = store.manifest()

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vespera.functions import bitset, metrics, vectext
-from vespera.operators.knn import knn, knn_batch
+from vespera.operators.knn import effective_k, knn, knn_batch
 from vespera.plans import overlay
 from vespera.plans import sql as surface
 from vespera.plans.engine import Engine
-from vespera.sources import generate, vecfile
-from vespera.types import EngineError, Element
+from vespera.sources import generate, ini, vecfile
+from vespera.streaming.ingest import ingest
+from vespera.types import EngineError, Element, Metadata, check_name
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,3 +539,345 @@ def knn_table_function_bitset(spark, sf_dir):
         d.load(v.select("id", "vec"))
         v.select("id", "label").createOrReplaceTempView("bits_labels")
         return e.sql(f"SELECT id, round(distance, 6) AS distance FROM knn_bits_vectors_bits((SELECT vec FROM bits_vectors WHERE id = {QUERY_ID}), (SELECT bitset_agg(id) FROM bits_labels WHERE label = 3), 6)")
+
+
+# ---- files, calls and the log
+
+
+def i16_line(vec: str) -> str:
+    """SQL of an i16 vector's text."""
+    return f"'[ ' || array_to_string(list_transform({vec}, lambda x: CAST(x AS VARCHAR)), ', ') || ' ]'"
+
+
+def opened(e: Engine, v: DataFrame, metric: str = "l2", kind: str = "f32", **more):
+    """A new dataset of e, loaded with rows (id, vec)."""
+    d = e.create("embeddings", dim=64, type=kind, range_size=RANGE, dist_func=metric, **more)
+    d.load(v.select("id", "vec"))
+    return d
+
+
+@query(sql_knn("l1", rows=I16, kind="i16"))
+def file_scan_binary(spark, sf_dir):
+    """A search over packed files: the table is written in the binary form and read again by ranges."""
+    v = scaled(vectors(spark, sf_dir))
+    path = temp_root(spark)
+    vecfile.write_binary(v, path, Element.i16, 64)
+    header, rows = vecfile.read_vectors(spark, path)
+    return rounded(knn(rows, query_vector(v), 10, "l1", header.element))
+
+
+@query("SELECT label AS id FROM embeddings GROUP BY label HAVING count(*) > 1")
+def input_duplicates(spark, sf_dir):
+    """Labels as ids: those that occur more than once."""
+    return vecfile.duplicates(vectors(spark, sf_dir).select(F.col("label").alias("id")))
+
+
+@query(
+    "SELECT a AS start, b AS stop, a < b AND EXISTS (SELECT 1 FROM embeddings WHERE vec_id >= a AND vec_id < b) AS present FROM (VALUES (0::BIGINT, 100::BIGINT), (499, 500), (50, 50), (90, 10), (1000000, 2000000)) t(a, b)"
+)
+def input_presence(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    spans = [(0, 100), (499, 500), (50, 50), (90, 10), (1_000_000, 2_000_000)]
+    return spark.createDataFrame([(a, b, vecfile.has_ids(v, a, b)) for a, b in spans], "start long, stop long, present boolean")
+
+
+@query(f"{sql_scored('l2')} SELECT row_number() OVER (ORDER BY distance, id) - 1 AS place, id FROM d ORDER BY distance, id LIMIT 10")
+def engine_found_ids(spark, sf_dir):
+    """The ids that a search through the engine found, asked for one by one."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        opened(e, v)
+        e.knn(query_vector(v), 10)
+        return spark.createDataFrame([(i, e.kres(i)) for i in range(e.kres())], "place long, id long")
+
+
+@query(f"WITH {I16} SELECT id, {i16_line('vec')} AS line FROM v WHERE id IN (0, 42, 199)")
+def engine_get_text(spark, sf_dir):
+    """Vectors of single ids as text, each from the files of its range."""
+    with Engine(spark, temp_root(spark)) as e:
+        opened(e, scaled(vectors(spark, sf_dir)), kind="i16")
+        return spark.createDataFrame([(i, e.get(i)) for i in (0, 42, 199)], "id long, line string")
+
+
+@query(
+    f"""WITH {I16}, ops(id, first) AS (VALUES (1, 5), (2, -6), (3, 7), (6, 8))
+SELECT id, {i16_line("vec")} AS line FROM v WHERE id <= 10 AND id NOT IN (1, 2, 3, 4, 5, 6)
+UNION ALL SELECT id, {i16_line("list_transform(range(0, 64), lambda j: CASE WHEN id IN (3, 6) THEN first ELSE first + j END)")} FROM ops"""
+)
+def engine_operations(spark, sf_dir):
+    """Upserts by text with commas and with spaces, by a scalar whose fraction is cut, deletes; the last of an id counts. Flushed in one go."""
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, scaled(vectors(spark, sf_dir)), kind="i16")
+        e.upsert(1, ", ".join(str(5 + j) for j in range(64)))
+        e.upsert(2, " ".join(str(-6 + j) for j in range(64)))
+        e.ups2(3, 7.9)
+        e.delete(4)
+        e.ups2(5, 1)
+        e.delete(5)
+        e.delete(6)
+        e.ups2(6, 8)
+        e.delete(5_000_000)
+        e.merge_accumulator()
+        return vecfile.text_lines(d.rows().where("id <= 10"), Element.i16).select("id", F.regexp_extract("line", r"\[.*", 0).alias("line"))
+
+
+@query("SELECT * FROM (VALUES ('added', 11::BIGINT), ('added', 12), ('added', 1000000), ('deleted', 10), ('deleted', 13), ('bytes', 3 * (8 + 256) + 2 * 8)) t(kind, value)")
+def pending_state(spark, sf_dir):
+    """What is pending before a flush, and its bytes; the dataset itself is as it was."""
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, vectors(spark, sf_dir))
+        for i in (12, 11, 1_000_000, 13):
+            e.ups2(i, 0.25)
+        for i in (10, 13):
+            e.delete(i)
+        rows = [("added", i) for i in d.pending.ids()] + [("deleted", i) for i in d.pending.deleted_ids()] + [("bytes", d.pending.bytes)]
+        d.flush()
+        return spark.createDataFrame(rows, "kind string, value long")
+
+
+@query("SELECT 'stored' AS state, 16::BIGINT AS vectors UNION ALL SELECT 'pending', 4")
+def pending_pressure(spark, sf_dir):
+    """A budget of four vectors: an operation that doesn't fit makes the earlier ones stored."""
+    with Engine(spark, temp_root(spark)) as e:
+        d = e.create("small", dim=64, range_size=RANGE, dist_func="l2", accumulator_size=4 * 264 + 40)
+        for i in range(20):
+            e.ups2(i, i)
+        rows = [("stored", d.rows().count()), ("pending", len(d.pending.ids()))]
+        return spark.createDataFrame(rows, "state string, vectors long")
+
+
+STORED = f"{I16}, moved AS (SELECT id, list_transform(vec, lambda x: CAST(x + 1 AS SMALLINT)) AS vec, label FROM v WHERE label = 3)"
+
+
+def i16_delta(v: DataFrame) -> DataFrame:
+    """Of scaled vectors: label 3 is moved by one, label 5 deleted."""
+    ops = v.where("label in (3, 5)")
+    moved = F.transform("vec", lambda x: (x + 1).cast("smallint"))
+    return ops.select("id", F.when(F.col("label") == 3, moved).alias("vec"), F.when(F.col("label") == 3, "U").otherwise("D").alias("op"))
+
+
+@query(
+    f"""WITH {STORED}, shown AS (SELECT id, vec, 0 AS part FROM v WHERE label NOT IN (3, 5) UNION ALL SELECT id, vec, 1 FROM moved)
+SELECT row_number() OVER (ORDER BY id // {RANGE}, part, id) - 1 AS place, id || ' : ' || {i16_line("vec")} AS line FROM shown"""
+)
+def engine_lines(spark, sf_dir):
+    """The lines of all stored rows and their places: by range, base before delta, then id."""
+    v = scaled(vectors(spark, sf_dir))
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, v, kind="i16")
+        d.store.apply(i16_delta(v), bulk=False)
+        return spark.createDataFrame([(i, r["line"]) for i, r in enumerate(e.lines().toLocalIterator())], "place long, line string")
+
+
+@query(
+    """SELECT 'base' AS kind, vec_id AS id, 'U' AS op FROM embeddings
+UNION ALL SELECT 'delta', vec_id, CASE WHEN label = 3 THEN 'U' ELSE 'D' END FROM embeddings WHERE label IN (3, 5)"""
+)
+def stored_streams(spark, sf_dir):
+    """What base and delta files hold, as two streams."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, v)
+        d.store.apply(delta_of(v), bulk=False)
+        m = d.store.manifest()
+        base = d.store.base_rows(m).select(F.lit("base").alias("kind"), "id", F.lit("U").alias("op"))
+        return base.unionByName(d.store.delta_rows(m).select(F.lit("delta").alias("kind"), "id", "op"))
+
+
+@query(f"SELECT DISTINCT vec_id // {RANGE} AS file_id FROM embeddings WHERE label IN (3, 5)")
+def affected_ranges(spark, sf_dir):
+    """The ranges that a change gave a delta."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, v)
+        d.store.apply(delta_of(v), bulk=False)
+        return d.store.stats().where("kind = 'delta'").select("file_id")
+
+
+@query(f"WITH {OVERLAID} SELECT id // {RANGE} AS file_id, count(*) AS rows, min(id) AS min_id, max(id) AS max_id FROM shown WHERE id // {RANGE} IN (0, 2) GROUP BY 1")
+def range_reader(spark, sf_dir):
+    """Single ranges of a dataset with deltas, each read alone."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, v)
+        d.store.apply(delta_of(v), bulk=False)
+        one = lambda f: d.store.rows(only={f}).agg(F.lit(f).cast("long").alias("file_id"), F.count("*").alias("rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+        return one(0).unionByName(one(2))
+
+
+@query(f"SELECT (vec_id // {RANGE}) % 2 AS slot, count(*) AS rows FROM embeddings GROUP BY 1")
+def dir_slots(spark, sf_dir):
+    """A dataset over two folders: the rows that the files of each hold."""
+    v = vectors(spark, sf_dir)
+    root = temp_root(spark)
+    with Engine(spark, root) as e:
+        dirs = (f"{root}/one", f"{root}/two")
+        opened(e, v, dirs=dirs)
+        parts = [spark.read.parquet(f"{path}/embeddings/data").agg(F.lit(slot).cast("long").alias("slot"), F.count("*").alias("rows")) for slot, path in enumerate(dirs)]
+        return parts[0].unionByName(parts[1])
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, round(CAST(CAST(CAST(i AS DOUBLE) + 0.1 AS FLOAT) AS DOUBLE), 4) AS component FROM range(50, 1050) t(i)")
+def gen_binary(spark, sf_dir):
+    """Vectors generated by way of the binary form keep single precision."""
+    with Engine(spark, temp_root(spark)) as e:
+        d = e.create("made", dim=8, range_size=RANGE, dist_func="l2")
+        e.generate_bin(1000, 50)
+        return d.rows().select("id", F.round(F.get("vec", F.lit(7)).cast("double"), 4).alias("component"))
+
+
+@query("SELECT CAST(3 * i AS BIGINT) AS id, CASE WHEN i % 4 = 0 THEN 'D' ELSE 'U' END AS op, CASE WHEN i % 4 = 0 THEN NULL ELSE CAST(3 * i AS SMALLINT) END AS component FROM range(0, 50) t(i)")
+def gen_manual(spark, sf_dir):
+    rows = generate.manual(spark, [(3 * i, i % 4 != 0) for i in range(50)], 4, "i16")
+    return rows.select("id", "op", F.get("vec", F.lit(3)).alias("component"))
+
+
+@query("SELECT 'own' AS name, 64::BIGINT AS dim, 'f16' AS type, 'cos' AS dist_func, 500::BIGINT AS range_size, 4096::BIGINT AS accumulator_size, '/a,/b' AS dirs")
+def ini_round_trip(spark, sf_dir):
+    """Metadata written as ini, with comments and lines without sense added, and read again."""
+    meta = Metadata("own", dim=64, type="f16", dist_func="cos", range_size=500, accumulator_size=4096, dirs=("/a", "/b"))
+    text = "; made by hand\n# twice\n" + ini.metadata_to_ini(meta).replace("dirs=/a,/b", "no sense\ndirs = /a , ,/b") + "[other]\ndim=3\n"
+    m = ini.metadata_from_ini("/sets/own.ini", text)
+    return spark.createDataFrame([(m.name, m.dim, m.type, m.dist_func, m.range_size, m.accumulator_size, ",".join(m.dirs))], "name string, dim long, type string, dist_func string, range_size long, accumulator_size long, dirs string")
+
+
+@query(sql_knn("cos"))
+def knn_query_file(spark, sf_dir):
+    """The query is a file's contents."""
+    v = vectors(spark, sf_dir)
+    path = f"{temp_root(spark)}/query"
+    text = v.where(F.col("id") == QUERY_ID).select(F.regexp_replace(vectext.formatted(F.col("vec")), r"[\[\]]", "").alias("value"))
+    text.coalesce(1).write.text(path)
+    with Engine(spark, temp_root(spark)) as e:
+        return rounded(opened(e, v, "cos").knn(f"@{path}", 10))
+
+
+@query(
+    f"{sql_scored('l2', rows=I16, kind='i16')} SELECT d.id, round(d.distance, 6) AS distance, {i16_line('q.vec')} AS query, 5::BIGINT AS k FROM (SELECT * FROM d ORDER BY distance, id LIMIT 5) d, q"
+)
+def knn_visible_query(spark, sf_dir):
+    """The query's text and k as columns of the result."""
+    v = scaled(vectors(spark, sf_dir))
+    with Engine(spark, temp_root(spark)) as e:
+        found = opened(e, v, kind="i16").knn(query_vector(v), 5, show=True)
+        return rounded(found).withColumn("k", F.col("k").cast("long"))
+
+
+@query(f"WITH {V} SELECT id, round(CAST(vec[1] AS DOUBLE), 5) AS head, 3::BIGINT AS refused FROM v WHERE id BETWEEN 30 AND 39")
+def view_is_read_only(spark, sf_dir):
+    """The SQL view of a dataset: reading works; INSERT, UPDATE and DELETE are refused and change nothing."""
+    with Engine(spark, temp_root(spark)) as e:
+        opened(e, vectors(spark, sf_dir))
+        refused = 0
+        for text in ("INSERT INTO embeddings VALUES (30, NULL)", "UPDATE embeddings SET id = 5 WHERE id = 30", "DELETE FROM embeddings WHERE id = 30"):
+            try:
+                e.sql(text)
+            except EngineError:
+                refused += 1
+        return e.sql("SELECT id, round(CAST(vec[0] AS DOUBLE), 5) AS head FROM embeddings WHERE id BETWEEN 30 AND 39").withColumn("refused", F.lit(refused).cast("long"))
+
+
+@query("SELECT name, regexp_full_match(name, '[A-Za-z0-9_.-]+') AND name NOT IN ('.', '..') AS valid FROM (VALUES ('items'), ('a-b_c.1'), ('..'), ('.'), (''), ('a/b'), ('a b'), ('é'), ('../x')) t(name)")
+def checked_names(spark, sf_dir):
+    def valid(name: str) -> bool:
+        try:
+            return check_name(name) == name
+        except EngineError:
+            return False
+
+    return spark.createDataFrame([(n, valid(n)) for n in ("items", "a-b_c.1", "..", ".", "", "a/b", "a b", "é", "../x")], "name string, valid boolean")
+
+
+@query(
+    """SELECT k, lim, skip, CASE WHEN lim IS NULL OR lim < 0 THEN coalesce(k, 10) ELSE least(coalesce(k, lim + greatest(skip, 0)), lim + greatest(skip, 0)) END AS n
+FROM (VALUES (5::BIGINT, 3::BIGINT, 0::BIGINT), (5, 20, 0), (NULL, 7, 2), (NULL, NULL, 0), (4, -1, 0), (9, 3, 4), (NULL, 3, -5), (2, NULL, 3)) t(k, lim, skip)"""
+)
+def effective_limits(spark, sf_dir):
+    """How many rows a search needs, by k, LIMIT and OFFSET."""
+    cases = [(5, 3, 0), (5, 20, 0), (None, 7, 2), (None, None, 0), (4, -1, 0), (9, 3, 4), (None, 3, -5), (2, None, 3)]
+    return spark.createDataFrame([(k, lim, skip, effective_k(k, lim, skip)) for k, lim, skip in cases], "k long, lim long, skip long, n long")
+
+
+@query(f"WITH {F16} SELECT id, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM v")
+def half_precision(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("vec", vectext.half(F.col("vec")))
+    return v.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query(f"WITH {V} SELECT id, round({_fold('vec', 'vec', 'p[1]::DOUBLE * p[2]::DOUBLE')}, 5) AS squared_norm FROM v")
+def parse_vector_spaces(spark, sf_dir):
+    """Vectors written with spaces only, and parsed again."""
+    v = vectors(spark, sf_dir)
+    text = F.regexp_replace(vectext.formatted(F.col("vec")), r"[\[\],]", " ")
+    return v.select("id", F.round(metrics.squared_norm(vectext.parsed(text, "f32", 64, commas=False)), 5).alias("squared_norm"))
+
+
+@query(f"WITH {V} SELECT b.id FROM v a, v b WHERE a.id = {QUERY_ID} AND a.vec = b.vec UNION ALL SELECT 700000")
+def ids_of_vector(spark, sf_dir):
+    """The ids that hold one vector, among them a second one that was given the same."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        opened(e, v)
+        e.upsert(700_000, query_vector(v))
+        e.merge_accumulator()
+        return e.ids_of(query_vector(v))
+
+
+@query(f"WITH {OVERLAID} SELECT id, round({_fold('vec', 'vec', 'p[1]::DOUBLE * p[2]::DOUBLE')}, 4) AS squared_norm FROM shown")
+def stream_ingest(spark, sf_dir):
+    """A stream of operations, stored batch by batch beside a bulk load."""
+    v = vectors(spark, sf_dir)
+    root = temp_root(spark)
+    delta_of(v).withColumn("seq", F.col("id")).write.parquet(f"{root}/ops")
+    with Engine(spark, root) as e:
+        d = opened(e, v)
+        stream = spark.readStream.schema("id long, vec array<float>, op string, seq long").parquet(f"{root}/ops")
+        ingest(d, stream, f"{root}/progress", available_now=True).awaitTermination()
+        return d.rows().select("id", F.round(metrics.squared_norm(F.col("vec")), 4).alias("squared_norm"))
+
+
+@query(
+    """SELECT 'loaded' AS state, count(*) AS rows FROM embeddings UNION ALL SELECT 'changed', count(*) FROM embeddings WHERE label <> 5
+UNION ALL SELECT 'merged', count(*) FROM embeddings WHERE label <> 5 UNION ALL SELECT 'reopened', count(*) FROM embeddings WHERE label <> 5"""
+)
+def versions_seen(spark, sf_dir):
+    """What SQL over one dataset counts after a load, a change, a merge of deltas, and closing and opening it."""
+    v = vectors(spark, sf_dir)
+    with Engine(spark, temp_root(spark)) as e:
+        d = opened(e, v)
+        count = lambda: e.sql("SELECT count(*) AS n FROM embeddings").first()["n"]
+        rows = [("loaded", count())]
+        d.store.apply(delta_of(v), bulk=False)
+        rows.append(("changed", count()))
+        e.merge_delta()
+        rows.append(("merged", count()))
+        e.close("embeddings")
+        e.open("embeddings")
+        rows.append(("reopened", count()))
+        return spark.createDataFrame(rows, "state string, rows long")
+
+
+@query("SELECT 'again' AS call, 'dataset exists: a' AS error UNION ALL SELECT 'dropped', 'no such dataset: a' UNION ALL SELECT 'second writer', 'refused' UNION ALL SELECT 'duplicate', 'Duplicate ids' UNION ALL SELECT 'negative', 'refused'")
+def refused_calls(spark, sf_dir):
+    """Calls that the engine refuses: a name that is taken, a dropped dataset, a second writer, ids twice, a negative id."""
+    root = temp_root(spark)
+    rows = []
+
+    def refused(call: str, run, full: bool = True) -> None:
+        try:
+            run()
+            rows.append((call, ""))
+        except EngineError as err:
+            rows.append((call, str(err) if full else "refused"))
+
+    with Engine(spark, root) as e, Engine(spark, root) as other:
+        d = e.create("a", dim=64, range_size=RANGE, dist_func="l2")
+        e.ups2(1, 1.0)
+        refused("again", lambda: other.create("a", dim=64, range_size=RANGE))
+        refused("second writer", lambda: (other.open("a"), other.delete(1)), False)
+        refused("duplicate", lambda: d.load(vectors(spark, sf_dir).select(F.col("label").alias("id"), "vec")))
+        refused("negative", lambda: e.delete(-1), False)
+        other.disconnect()
+        e.drop("a")
+        refused("dropped", lambda: e.drop("a"))
+    return spark.createDataFrame(rows, "call string, error string")

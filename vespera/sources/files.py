@@ -20,9 +20,13 @@ class Files:
 
     def local(self, path: str) -> str | None:
         """The path as the operating system has it, if the file lies in the driver's file system."""
-        uri = urlparse(self._fs.makeQualified(self._path(path)).toUri().toString())
+        uri = urlparse(self.uri(path))
         return unquote(uri.path) if uri.scheme == "file" else None
 
+    def uri(self, path: str) -> str:
+        """The path with its scheme and host."""
+        return self._fs.makeQualified(self._path(path)).toUri().toString()
+
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 

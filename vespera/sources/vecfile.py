@@ -191,6 +191,47 @@ def write_text(rows: DataFrame, path: str, element: Element, dim: int) -> None:
     lines.sortWithinPartitions("id").select("line").mapInArrow(run, "value string").write.text(path)
 
 
+def write_binary(rows: DataFrame, path: str, element: Element, dim: int) -> None:
+    """A folder of packed files, one for each task with rows, ordered by id within each; rows (id, vec) must be live.
+
+    A task writes under a hidden name of its own and renames at its end, so readers never see a part of a file, and a task
+    that runs again puts the same file in the same place. The folder must be one that Python's file systems reach.
+    """
+    files = Files(rows.sparkSession, path)
+    if files.exists(path):
+        raise EngineError(f"path exists: {path}")
+    files.make(path)
+    root, head = files.uri(path), Header(element, dim, True).line().encode() + b"\n"
+    record = np.dtype([("id", "<u8"), ("vec", element.numpy, (dim,))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        system, folder = FileSystem.from_uri(root)
+        task = TaskContext.get()
+        hidden, n, out = f"{folder}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", 0, None
+        for batch in batches:
+            vectors = batch.column("vec")
+            if vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != dim).any():
+                raise EngineError("the binary form has no deletes, and vectors of one dimension")
+            packed = np.empty(batch.num_rows, record)
+            packed["id"] = batch.column("id").to_numpy()
+            packed["vec"] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            if batch.num_rows:
+                out = out or system.open_output_stream(hidden)
+                out.write(packed.tobytes() if n else head + packed.tobytes())
+            n += batch.num_rows
+        if out:
+            out.close()
+            system.move(hidden, f"{folder}/part-{task.partitionId():05d}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    live = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast(f"array<{element.sql}>").alias("vec")).sortWithinPartitions("id")
+    if not live.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]:
+        files.write(f"{path}/part-00000.bin", head.decode())  # without rows a header alone
+
+
 def pack_records(ids: list[int], vectors: list, element: Element) -> bytes:
     """Binary records of a small batch, on the driver."""
     out = [struct.pack("<Q", i) + np.array(v, np.float64).astype(element.numpy).tobytes() for i, v in zip(ids, vectors, strict=True)]
