@@ -5,7 +5,9 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -330,8 +332,6 @@ def test_spellings_of_neighbours(spark):
 
 
 def test_license_lines(spark):
-    import duckdb
-
     texts = ["One.\nReleased under the MIT licence\nTwo\n  licensed under CC  BY-NC 4.0!", "We say: Released under the MIT License.", "Released under the MIT License.", license_scan.ISC + "\nReleased under the MIT License."]
     got = by_id(license_scan.scan_lines(frame(spark, texts)))
     assert [(got[i]["license"], got[i]["line_licenses"]) for i in range(5)] == [(None, ["CC-BY-NC-4.0-line", "MIT-line"]), (None, []), ("MIT-line", ["MIT-line"]), (None, ["MIT-line"]), (None, [])]
@@ -372,3 +372,28 @@ def test_media_round_trip(spark):
     t = tensors[3]
     assert f"{t['width']}x{t['height']}" == size and len(t["rgb"]) == 3 * t["width"] * t["height"]
     assert [sum(t["rgb"][c::3]) for c in range(3)] == list(map(int, sums))
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.exists(), reason="this system has no licence texts")
+def test_full_licence_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    assert set(files) == set(license_scan.FULL)
+    rows = []
+    for name, file in files.items():
+        if (COMMON / file).exists():
+            text = (COMMON / file).read_text()
+            end = text.upper().find("END OF TERMS AND CONDITIONS")
+            rows += [(name, text), (name, text.upper().replace("(C)", "(c)")), (name, text.replace("\n", "\r\n")), (None, text[:-40]), (None, text + " or else")]
+            rows += [(name, text[: end + 27]), (name, text[:end])] if end > 0 else []
+    got = by_id(license_scan.scan(frame(spark, [t for _, t in rows])))
+    assert [got[i]["license"] for i in range(len(rows))] == [name for name, _ in rows]
+    known = [r["digest"] for r in license_scan.known_digests(spark).collect()]
+    assert len(known) == len(set(known))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    out = con.sql(queries.oracle_sql()["op6_license_scan"]).fetchall()
+    assert {r[0]: (r[1], r[2]) for r in out} == {i: (got[i]["digest"], got[i]["license"]) for i in range(len(rows))}

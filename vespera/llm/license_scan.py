@@ -2,8 +2,8 @@
 
 A text is made canonical (case, copyright lines, punctuation, equivalent spellings) and digested;
 the digest is looked up among those of known licence texts by a hash join. The known table has a
-few rows of fixed number (`known_texts()`: no full texts of Apache-2.0, the GPL family or MPL), made
-canonical by the same expressions, and is broadcast. Further texts are read from a table by
+few rows of fixed number and is broadcast: `known_texts()`, made canonical by the same expressions, and
+the digests of longer licences (`FULL`: Apache-2.0, the GPL family, MPL and others). Further texts are read from a table by
 `table_digests`; a table handed in is broadcast by Catalyst only below its own threshold.
 
 `scan_lines` looks up whole texts and, in the same way, each whole line: documents that aren't a
@@ -80,6 +80,47 @@ KNOWN = {
     "MIT-line": "Released under the MIT License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
+# Digests of the canonical forms of public licence texts: whole, then without what follows
+# "END OF TERMS AND CONDITIONS", then without that line too. They hold for SPELLINGS and COPYRIGHT_LINES as they are.
+FULL = {
+    "Apache-2.0": (
+        "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",
+        "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",
+        "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64",
+    ),
+    "Artistic-1.0-Perl": ("08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",),
+    "CC0-1.0": ("de4b88a2c819a4661af54f735069ed878216da8b4992b919b84afa18cfc0e54c",),
+    "GFDL-1.2": ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",),
+    "GFDL-1.3": ("a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",),
+    "GPL-1.0": (
+        "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+        "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b",
+        "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb",
+    ),
+    "GPL-2.0": (
+        "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+        "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca",
+        "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88",
+    ),
+    "GPL-3.0": (
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+    ),
+    "LGPL-2.0": (
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+    ),
+    "LGPL-2.1": (
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
+}
 TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
     "ISC": ("ISC License", "The ISC License"),
@@ -95,7 +136,7 @@ SPELLINGS = {
     "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "customisation": "customization", "favour": "favor", "fulfil": "fulfill",
     "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "licence": "license", "licenced": "licensed", "organisation": "organization",
     "owner": "holder", "owners": "holders", "practise": "practice", "programme": "program", "recognised": "recognized", "sublicence": "sublicense",
-    "unauthorised": "unauthorized", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "noncommercial": "non commercial", "per cent": "percent",
+    "unauthorised": "unauthorized", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "noncommercial": "non commercial", "per cent": "percent", "https": "http",
 }
 SIGN = r"(?:\([cC]\)|©|[cC][oO][pP][yY][rR][iI][gG][hH][tT]:?)"
 COPYRIGHT_LINES = rf"(?m)^[ \t]*(?:{SIGN}[ \t,]*(?:{SIGN}|[\[<(]?(?:[0-9]{{4}}|yyyy|YYYY|year))[^\n]*|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD][ \t.]*)\r?$"
@@ -125,7 +166,10 @@ def known_texts() -> dict[str, str]:
 
 
 def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
-    return table_digests(spark.createDataFrame([(k.split(" titled ")[0], v) for k, v in sorted((known or known_texts()).items())], "license string, known string"), text_col="known")
+    """digest, license of the given texts; without any, of known_texts() and FULL."""
+    texts = table_digests(spark.createDataFrame([(k.split(" titled ")[0], v) for k, v in sorted((known or known_texts()).items())], "license string, known string"), text_col="known")
+    full = [] if known else [(d, name) for name, digests in FULL.items() for d in digests]
+    return texts.unionByName(spark.createDataFrame(full, "digest string, license string"))
 
 
 def table_digests(texts: DataFrame, license_col: str = "license", text_col: str = "text") -> DataFrame:
@@ -168,7 +212,8 @@ def scan_sql(known: dict[str, str] | None = None) -> str:
 
     whole = "sha256(nullif(array_to_string(list_filter(lines, lambda x: x <> ''), ' '), ''))"
     rows = ", ".join("('{}', '{}')".format(k.split(" titled ")[0], v.replace("'", "''")) for k, v in sorted((known or known_texts()).items()))
-    return f"""WITH known AS (SELECT {whole} AS digest, min(name) AS license FROM (SELECT name, {lines_sql("body")} AS lines FROM (VALUES {rows}) t(name, body)) GROUP BY 1),
+    full = "" if known else " UNION ALL SELECT * FROM (VALUES {}) f(digest, license)".format(", ".join(f"('{d}', '{name}')" for name, digests in FULL.items() for d in digests))
+    return f"""WITH known AS (SELECT {whole} AS digest, min(name) AS license FROM (SELECT name, {lines_sql("body")} AS lines FROM (VALUES {rows}) t(name, body)) GROUP BY 1{full}),
 cut AS (SELECT doc_id, {lines_sql("text")} AS lines FROM documents),
 named AS (SELECT doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
   FROM (SELECT doc_id, unnest(lines) AS line FROM cut) l JOIN known k ON l.line <> '' AND k.digest = sha256(l.line) GROUP BY doc_id)
