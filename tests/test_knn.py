@@ -117,3 +117,24 @@ def test_angles(spark):
     v = rows(spark, {i: [math.cos(i * math.pi / 200), math.sin(i * math.pi / 200), 0.0, 0.0] for i in range(100)})
     got = found(knn(v, [1.0, 0, 0, 0], 10, "cos"))
     assert got[0][0] == 0 and [d for _, d in got] == sorted(d for _, d in got)
+
+
+def test_large_k_by_counts(spark, monkeypatch):
+    from vespera.operators import knn as module
+
+    rng = np.random.default_rng(3)
+    data = {int(i): [float(x) for x in rng.integers(0, 4, 3)] for i in rng.permutation(900)} | {1000: [1e6, 0.0, 0.0], 1001: [1e-9, 0.0, 0.0]}
+    v = rows(spark, data).unionByName(spark.createDataFrame([(2000, None)], "id long, vec array<float>")).repartition(5).cache()
+    for metric in ("l1", "l2", "cos"):
+        want = found(knn(v, [1.0, 0.0, 2.0], 950, metric))
+        assert len(want) == 902
+        with monkeypatch.context() as m:
+            m.setattr(module, "MOST_K", 4)
+            m.setattr(module, "BINS", 8)
+            for k in (5, 37, 500, 901, 902, 950):
+                out = knn(v, [1.0, 0.0, 2.0], k, metric)
+                assert found(out) == want[:k]
+            assert "TakeOrderedAndProject" not in out._jdf.queryExecution().toString()
+            assert found(knn(v, [1.0, 0.0, 2.0], None, metric, limit=40, offset=7)) == want[7:47]
+            assert found(knn(v.where("false"), [1.0, 0.0, 2.0], 10, metric)) == []
+    v.unpersist()

@@ -2,7 +2,8 @@
 
 Rows rank by (distance, id). For one query the plan is a projection of the distance over the scan
 and a TakeOrderedAndProject: each task keeps its k best and the driver merges them, without a
-shuffle. Many queries are scored in blocks of rows in numpy: a matrix product bounds the distances
+shuffle; a k over MOST_K is first turned into a bound on (distance, id) by counts, and what is within
+it is sorted by ranges, so no task holds k rows. Many queries are scored in blocks of rows in numpy: a matrix product bounds the distances
 from below, the few rows within the bound are scored exactly, each task keeps its k best of each
 query, and only those are shuffled.
 """
@@ -23,6 +24,8 @@ from vespera.types import DEFAULT_K, EngineError, Element, Metric
 
 #: Ids of a list and bytes of a bitset that may go into the plan; larger ones are joined.
 MOST_IDS, MOST_BYTES, QUERIES = 10_000, 4 << 20, 256
+#: The largest k that tasks and one merge hold; beyond it the last place is found by counts. And the bins of a count.
+MOST_K, BINS = 1_000_000, 1024
 
 
 def effective_k(k: int | None, limit: int | None, offset: int = 0) -> int:
@@ -63,6 +66,39 @@ def check_query(query: Sequence[float] | None) -> list[float]:
     return list(query)
 
 
+def _at_place(rows: DataFrame, column: str, n: int) -> tuple[float, int]:
+    """The n-th smallest value of a column (n at most the number of rows), and how many rows are below it.
+
+    Each pass counts rows in BINS equal parts of the values that are left, and the part with the place is left.
+    """
+    below, part = 0, rows
+    low, high = part.agg(F.min(column), F.max(column)).first()
+    while low != high:
+        share = (F.col(column) - F.lit(low)).cast("double") / F.lit(float(high - low))
+        bins = part.groupBy(F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r["bin"]):
+            low, high, held = r["low"], r["high"], r["n"]
+            if below + held >= n:
+                break
+            below += held
+        part = rows.where(F.col(column).between(low, high))
+        if low != high and held <= MOST_K:
+            low = high = part.orderBy(column).limit(n - below).agg(F.max(column)).first()[0]
+            below += part.where(F.col(column) < low).count()
+    return low, below
+
+
+def _nearest(scored: DataFrame, n: int) -> DataFrame:
+    """The n first rows by (distance, id), in this order; of a repeated id at the bound all rows stay where n is over MOST_K."""
+    if n <= MOST_K:
+        return scored.orderBy("distance", "id").limit(max(n, 0))
+    if scored.count() > n:
+        d, below = _at_place(scored, "distance", n)
+        last, _ = _at_place(scored.where(F.col("distance") == d), "id", n - below)
+        scored = scored.where((F.col("distance") < d) | ((F.col("distance") == d) & (F.col("id") <= last)))
+    return scored.orderBy("distance", "id")
+
+
 def knn(
     df: DataFrame, query: Sequence[float], k: int | None = None, metric: Metric | str = "l2", element: Element | str = "f32", *, allowed=None, limit: int | None = None,
     offset: int = 0, id_col: str = "id", vec_col: str = "vec", inv_norm_col: str | None = None, strategy: str = "auto", rank: bool = False, keep: Sequence[str] = (), shown: str | None = None,
@@ -72,7 +108,8 @@ def knn(
     shown adds the columns query (this text) and k, as the search was asked for.
 
     allowed is applied before the k best are taken; a filter on the result comes after. With
-    inv_norm_col, cosine distances are taken from stored inverse norms.
+    inv_norm_col, cosine distances are taken from stored inverse norms. Rows without a vector are never found.
+    Ranks, and an offset, gather the k rows in one task.
     """
     q, metric = check_query(query), Metric.of(metric)
     n = effective_k(k, limit, offset)
@@ -80,7 +117,8 @@ def knn(
         d = metrics.stored_cos_to(vec_col, F.col(inv_norm_col), q, element)
     else:
         d = metrics.distance_to(vec_col, q, metric, element, strategy)
-    best = allow(df, allowed, id_col).select(F.col(id_col).alias("id"), d.alias("distance"), *keep).orderBy("distance", "id").limit(max(n, 0))
+    rows = allow(df, allowed, id_col).where(F.col(vec_col).isNotNull())
+    best = _nearest(rows.select(F.col(id_col).alias("id"), d.alias("distance"), *keep), n)
     if rank:
         best = best.withColumn("rank", F.row_number().over(W.orderBy("distance", "id")))
     if offset > 0:
