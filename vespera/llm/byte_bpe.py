@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import blocks, forget_late, map_arrow, strings
+from vespera.llm.common import CACHES, blocks, forget_late, map_arrow, strings
 from vespera.llm.merges import Merges
 
 
@@ -107,6 +107,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(1)
 def codec(path: str, pattern: str) -> Codec:
+    CACHES[__name__] = codec.cache_clear
     return Codec(read_ranks(path), pattern)
 
 

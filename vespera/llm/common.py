@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -66,6 +67,20 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
 
 
+#: In a Python worker: what clears a module's tables and caches, which outlive its tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def drop_others(module: str) -> None:
+    """Clears what other modules keep in this worker: workers live on from one operator to the next."""
+    others = [name for name in CACHES if name != module]
+    for name in others:
+        CACHES.pop(name)()
+    if others:
+        gc.collect()
+        give_back()
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches of 1,000 rows where the session leaves Spark's default of 10,000.
 
@@ -75,7 +90,13 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get(BATCH_ROWS, None) in (None, "10000"):
         spark.conf.set(BATCH_ROWS, "1000")
-    return df.mapInArrow(run, schema)
+    module = run.__module__
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(module)
+        return run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def give_back() -> None:
