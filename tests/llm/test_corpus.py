@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm import brute
 from vespera.llm import common, fm_index, gated_lm, near_dedup, queries, substring_dedup, wordhash
+from vespera.llm import components as components_module
 from vespera.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -225,6 +226,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_one_round(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(i + 1, i) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(-260, -200), rng.randrange(-260, -200)) for _ in range(40)] + [(300, i) for i in range(260, 300)] + [(300, 2**62), (7, 7)] * 2
+    table, tables = spark.createDataFrame(links, "a long, b long").repartition(5), []
+    whole = sorted(map(tuple, components(table, few=0).collect()))  # by rounds of joins alone
+    assert {n for n, _ in whole} == {x for a, b in links if a != b for x in (a, b)} and (2**62, 260) in whole and (60, 0) in whole
+    assert sorted(map(tuple, components(table, few=30).collect())) == whole
+    monkeypatch.setattr(components_module, "written", lambda df, what: tables.append(what) or common.written(df, what))
+    assert sorted(map(tuple, components(table).collect())) == whole
+    assert tables == ["links", "parents"]
+
+
 @pytest.mark.parametrize("most", [4_000_000, 3])
 def test_language_model(spark, most):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
