@@ -105,6 +105,65 @@ def test_batch_equals_single_queries(spark):
                 assert own == found(knn(v, data[q], 4, metric))
 
 
+def test_many_l1_queries_on_one_row_group(spark, tmp_path, monkeypatch):
+    from vespera.operators import knn as module
+
+    rng = np.random.default_rng(8)
+    spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(500)], "id long, vec array<float>").coalesce(1).write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    few = sorted(map(tuple, knn_batch(v, v.where("id % 50 = 0"), 3, "l1", query_id="id", query_vec="vec").collect()))
+    for most, dealt in ((module.MOST_DEALT, True), (0, False)):
+        monkeypatch.setattr(module, "HEAVY", 8)
+        monkeypatch.setattr(module, "MOST_DEALT", most)
+        got = knn_batch(v, v.where("id % 50 = 0"), 3, "l1", query_id="id", query_vec="vec")
+        assert ("RoundRobinPartitioning(4)" in got._jdf.queryExecution().executedPlan().toString()) == dealt
+        assert sorted(map(tuple, got.collect())) == few and len(few) == 30
+
+
+def test_lateral_query_is_a_batch(spark, tmp_path):
+    import __spark_entry__ as entry
+    from vespera.plans import sql
+
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, (300, 8)) * np.float32(0.1)  # with ties and copies
+    table = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    table.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = entry.queries()["knn_lateral"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    sql.expose(spark, "outer_vectors", table.selectExpr("vec_id AS id", "embedding AS vec"), "l1")
+    want = spark.sql("SELECT o.id AS query_id, n.id, round(n.distance, 6) AS distance FROM outer_vectors o, LATERAL knn_outer_vectors(o.vec, 3) n WHERE o.id % 50 = 0")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 18
+
+
+@pytest.mark.parametrize("element", ["f32", "f16", "i16"])
+def test_l1_bounds_lose_no_row(element):
+    from vespera.operators.knn import _Best
+
+    rng = np.random.default_rng(7)
+    for scale, k in ((1, 3), (1000, 40), (32767, 1)):
+        q, rows = (np.round(rng.uniform(-scale, scale, (n, 24)) * (1 if element == "i16" else 0.3), 0 if element == "i16" else 2) for n in (300, 2500))
+        rows[1000:2300] = rows[0]  # copies, more than any k
+        q[:4] = rows[0]
+        rows = rows.astype(np.int16 if element == "i16" else np.float16 if element == "f16" else np.float32)
+        rows = rows.astype(np.float32) if element == "f16" else rows
+        q = np.array([metrics.query_values(x, Element(element)) for x in q], np.float64)
+        best, ids = _Best(q, k, Metric.l1, Element(element)), rng.permutation(2500)
+        for part in np.array_split(np.arange(2500), [2, 1100, 1101]):
+            best.take(ids[part], rows[part])
+        for x in (*range(6), 299):
+            d = metrics.pair_l1(rows, q[x][None, :], Element(element))
+            order = np.lexsort((ids, d))[:k]
+            mine = best.query == x
+            assert best.ids[mine].tolist() == ids[order].tolist() and best.d[mine].tolist() == d[order].tolist()
+
+
+def test_l1_beyond_single_precision(spark):
+    v = rows(spark, {1: [3e38, 0.0, 0.0, 0.0], 2: [2e38, 2e38, 2e38, 0.0], 3: [1e38] * 4, 4: [3e38, 3e38, 0.0, 0.0]})
+    got = knn_batch(v, v.where("id = 1"), 4, "l1", query_id="id", query_vec="vec").collect()
+    assert [(r["id"], r["distance"]) for r in sorted(got, key=lambda r: r["rank"])] == [(r["id"], r["distance"]) for r in knn(v, [3e38, 0.0, 0.0, 0.0], 4, "l1").collect()]
+
+
 def test_half_precision(spark):
     from vespera.functions.vectext import half
 

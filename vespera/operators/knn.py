@@ -3,8 +3,8 @@
 Rows rank by (distance, id). For one query the plan is a projection of the distance over the scan
 and a TakeOrderedAndProject: each task keeps its k best and the driver merges them, without a
 shuffle; a k over MOST_K is first turned into a bound on (distance, id) by counts, and what is within
-it is sorted by ranges, so no task holds k rows. Many queries are scored in blocks of rows in numpy: a matrix product bounds the distances
-from below, the few rows within the bound are scored exactly, each task keeps its k best of each
+it is sorted by ranges, so no task holds k rows. Many queries are scored in blocks of rows in numpy: a matrix product, or for l1 a sum in
+single precision, bounds the distances from below, the few rows within the bound are scored exactly, each task keeps its k best of each
 query, and only those are shuffled.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from vespera.types import DEFAULT_K, EngineError, Element, Metric
 MOST_IDS, MOST_BYTES, QUERIES = 10_000, 4 << 20, 256
 #: The largest k that tasks and one merge hold; beyond it the last place is found by counts. And the bins of a count.
 MOST_K, BINS = 1_000_000, 1024
+#: Rows and pairs that are scored at a time; components of queries from which l1 is worth a shuffle of the rows, and bytes of rows up to which.
+TILE, PAIRS, HEAVY, MOST_DEALT = 1024, 1 << 16, 1 << 15, 1 << 30
 
 
 def effective_k(k: int | None, limit: int | None, offset: int = 0) -> int:
@@ -146,6 +149,8 @@ def knn_batch(
     if whole.num_rows > max_queries:
         n = -(-wanted.count() // max_queries)
         sets = [wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == s).toArrow() for s in range(n)]
+    if metric is Metric.l1:
+        rows = _dealt(rows, sets[0])
     found = None
     for own in sets:
         part = rows.mapInArrow(_scorer(df.sparkSession, own, k, metric, element), f"query_id {kind}, id long, distance double")
@@ -154,6 +159,14 @@ def knn_batch(
     return ranked.where(F.col("rank") <= k)
 
 
+def _dealt(rows: DataFrame, own: pa.Table) -> DataFrame:
+    """For many queries: the rows dealt to all cores, as a file of one row group is read by one task; large tables have many."""
+    if (pc.sum(pc.list_value_length(own.column("query"))).as_py() or 0) < HEAVY:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= MOST_DEALT else rows
+
+
 class _Best:
     """The k nearest rows of each query so far, as one table sorted by query, distance and id."""
 
@@ -163,23 +176,46 @@ class _Best:
         self.query, self.d, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.worst = np.full(len(queries), np.inf)  # of queries that have k rows
 
-    def bounds(self, rows: np.ndarray, norms: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Distances of some queries to all rows (queries x rows), and how far they may be off for each query."""
+    def bounds(self, rows: np.ndarray, norms: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray, float]:
+        """Distances of some queries to all rows (queries x rows); how far they may be off for each query, and in parts of themselves."""
         q, own = self.q[at], self.norms[at]
         if self.metric is Metric.l1:
-            return np.stack([metrics.numpy_distances(rows, x, self.metric, self.element) for x in q]), np.zeros(len(q))
+            return self.sums(rows, q), np.full(len(q), 1e-30), (rows.shape[1] + 8) * 2.0**-22
         product = q @ rows.T
         if self.metric is Metric.l2:
             product *= -2
             product += norms
             product += own[:, None]
-            return product, 4e-12 * (norms.max() + own)
+            return product, 4e-12 * (norms.max() + own), 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
             product /= np.sqrt(np.outer(own, norms))
         product = 1 - product
         product[:, norms == 0] = 1
         product[own == 0] = np.where(norms == 0, 0.0, 1.0)
-        return product, np.full(len(q), 1e-11)
+        return product, np.full(len(q), 1e-11), 0.0
+
+    def sums(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """l1 distances in single precision, in tiles of rows that stay in a core's cache; exact ones where those overflow."""
+        near, ones = np.empty((len(q), len(rows)), np.float32), np.ones(rows.shape[1], np.float32)
+        single, held = q.astype(np.float32), np.empty((min(TILE, len(rows)), rows.shape[1]), np.float32)
+        with np.errstate(over="ignore"):
+            for start in range(0, len(rows), TILE):
+                tile = rows[start : start + TILE].astype(np.float32, copy=False)
+                gap = held[: len(tile)]
+                for j, x in enumerate(single):
+                    np.subtract(tile, x, out=gap)
+                    np.abs(gap, out=gap)
+                    np.dot(gap, ones, out=near[j, start : start + len(tile)])
+        if np.isfinite(near).all():
+            return near
+        return np.stack([metrics.numpy_distances(rows, x, self.metric, self.element) for x in q])
+
+    def exact(self, rows: np.ndarray, q: np.ndarray, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The distances of these pairs of a query and a row."""
+        parts = [slice(s, s + PAIRS) for s in range(0, len(j), PAIRS)]
+        if self.metric is Metric.l1:
+            return np.concatenate([np.zeros(0), *(metrics.pair_l1(rows[i[p]], q[j[p]], self.element) for p in parts)])
+        return np.concatenate([np.zeros(0), *(metrics.pair_distances(rows[i[p]], q[j[p]], self.metric) for p in parts)])
 
     def take(self, ids: np.ndarray, rows: np.ndarray) -> None:
         if self.metric is not Metric.l1:
@@ -188,22 +224,25 @@ class _Best:
         found = []
         for a in range(0, len(self.q), QUERIES):
             at = slice(a, a + QUERIES)
-            near, off = self.bounds(rows, norms, at)
+            near, off, share = self.bounds(rows, norms, at)
             limit = self.worst[at]
             if len(ids) > self.k and not (limit < np.inf).all():
-                limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + off)
-            j, i = np.nonzero(near <= (limit + off)[:, None])
-            d = near[j, i] if self.metric is Metric.l1 else metrics.pair_distances(rows[i], self.q[at][j], self.metric)
-            found.append((j + a, d, ids[i]))
-        query, d, i = (np.concatenate(x) for x in zip((self.query, self.d, self.ids), *found, strict=True))
-        order = np.lexsort((i, d, query))
-        query, d, i = query[order], d[order], i[order]
-        first = np.searchsorted(query, np.arange(len(self.q)))
-        place = np.arange(len(query)) - first[query]
+                limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] * (1 + share) + off)
+            with np.errstate(over="ignore"):
+                j, i = np.nonzero(near <= (limit * (1 + share) + off).astype(near.dtype)[:, None])
+            part = j + a, self.exact(rows, self.q[at], j, i), ids[i]
+            found.append(part if len(j) <= 4 * self.k * len(near) else self.first(*part)[:3])  # many at the same distance
+        self.query, self.d, self.ids, last = self.first(*(np.concatenate(x) for x in zip((self.query, self.d, self.ids), *found, strict=True)))
+        self.worst[self.query[last]] = self.d[last]
+
+    def first(self, query: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k first rows of each query, and which of them are the k-th."""
+        order = np.lexsort((ids, d, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
         keep = place < self.k
-        last = place == self.k - 1
-        self.worst[query[last]] = d[last]
-        self.query, self.d, self.ids = query[keep], d[keep], i[keep]
+        order = order[keep]
+        return query[keep], d[order], ids[order], place[keep] == self.k - 1
 
 
 def _scorer(spark, own: pa.Table, k: int, metric: Metric, element: Element):
